@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codeloom.sources.ship import ship
 
 def load(spark: SparkSession, base: str, name: str) -> DataFrame:
     """The Parquet table `name` below the folder `base`."""
+    ship(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
