@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from codeloom.llm import bpe, leakage
+from codeloom.llm import bpe, leakage, spans
 from codeloom.sources.tables import load, spread
 
 
+def p7_found(spark, d):
+    return spans.shared_pairs(spread(load(spark, d, "nodes").select("id", "code")))
+
+
+def p7_shared(spark, d):
+    return spans.shared_parts(spread(load(spark, d, "nodes").select("id", "code")))
+
+
 def p8_ids(spark, d):
     import public_tokenizers as tokenizers
 
@@ -23,7 +31,7 @@ def p9_spans(spark, d):
     return leakage.leaked_spans(docs, load(spark, d, "eval_items"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
+QUERIES = {"p7_found": p7_found, "p7_shared": p7_shared, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
 
 ORACLE: dict[str, str] = {
     "p9_found": """
