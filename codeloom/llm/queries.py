@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from codeloom.llm import bpe, leakage, spans
+from codeloom.llm import bpe, leakage, neighbours, spans
 from codeloom.sources.tables import load, spread
 
 
+def p1_found(spark, d):
+    return neighbours.neighbour_pairs(spread(load(spark, d, "nodes").select("id", "embedding")))
+
+
 def p7_found(spark, d):
     return spans.shared_pairs(spread(load(spark, d, "nodes").select("id", "code")))
 
@@ -31,7 +35,7 @@ def p9_spans(spark, d):
     return leakage.leaked_spans(docs, load(spark, d, "eval_items"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_shared": p7_shared, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
+QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p7_shared": p7_shared, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
 
 ORACLE: dict[str, str] = {
     "p9_found": """
