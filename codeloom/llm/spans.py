@@ -16,9 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.sources.tables import durable
+
 #: Characters of a span that is worth reporting.
 SPAN = 200
 #: Window lengths, each twice the one before.
@@ -138,20 +140,32 @@ def _anchors(deep: bool):
     return run
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of whole spans at the places listed for each text."""
-    for batch in batches:
-        for keys, texts, places in _chunks(batch):
-            h = Hasher(texts)
-            size = np.array([len(p) for p in places])
-            local = np.fromiter((x for p in places for x in p), np.int64, int(size.sum()))
-            own = np.repeat(np.arange(len(texts)), size)
-            at = local + h.begins[own]
-            inside = (local >= 0) & (at + SPAN <= h.ends[own])
-            at, own, local = at[inside], own[inside], local[inside]
-            yield pa.RecordBatch.from_pydict(
-                {"text_key": pa.array(np.array(keys, np.int64)[own]), "at": pa.array(local.astype(np.int32)), "h": _signed(h.windows(at, SPAN))}
-            )
+def _spans(places: bool):
+    """Hashes of whole spans at the places listed for each text; without places, each hash of a text once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, texts, listed in _chunks(batch):
+                h = Hasher(texts)
+                size = np.array([len(p) for p in listed])
+                local = np.fromiter((x for p in listed for x in p), np.int64, int(size.sum()))
+                own = np.repeat(np.arange(len(texts)), size)
+                at = local + h.begins[own]
+                inside = (local >= 0) & (at + SPAN <= h.ends[own])
+                at, own, local = at[inside], own[inside], local[inside]
+                x = h.windows(at, SPAN)
+                columns = {}
+                if places:
+                    columns["at"] = pa.array(local.astype(np.int32))
+                else:
+                    order = np.lexsort((x, own))
+                    x, own = x[order], own[order]
+                    new = np.ones(len(x), bool)
+                    new[1:] = (x[1:] != x[:-1]) | (own[1:] != own[:-1])
+                    x, own = x[new], own[new]
+                yield pa.RecordBatch.from_pydict({"text_key": pa.array(np.array(keys, np.int64)[own]), **columns, "h": _signed(x)})
+
+    return run
 
 
 def _repeated(windows: DataFrame) -> DataFrame:
@@ -165,14 +179,18 @@ def _texts(records: DataFrame, key: str, text: str) -> DataFrame:
     return long.select(F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
 
 
-def repeated_spans(records: DataFrame, key: str = "id", text: str = "code") -> DataFrame:
-    """(text_key, at, h): every place of every text at which a span begins that another text has as well."""
+def _surviving(records: DataFrame, key: str, text: str) -> DataFrame:
+    """(text_key, text, places): the texts that survive all levels, and where their spans may begin.
+
+    What survives the first level, and this result, are small beside the table and are written to the shared folder,
+    since several later steps read them.
+    """
     texts = _texts(records, key, text)
     flat = texts.mapInArrow(_anchors(False), "text_key long, h long")
     deep_schema = "text_key long, h long, at int, " + ", ".join(
         [f"x{k} long" for k in range(len(LEFT_1))] + [f"y{k} long" for k in range(len(LEFT_2))]
     )
-    level_0 = texts.mapInArrow(_anchors(True), deep_schema).join(_repeated(flat), "h", "left_semi").distinct()
+    level_0 = durable(texts.mapInArrow(_anchors(True), deep_schema).join(_repeated(flat), "h", "left_semi").distinct())
 
     def variants(df: DataFrame, prefix: str, n: int, *keep: str) -> DataFrame:
         pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"{prefix}{k}").alias("h")) for k in range(n)])
@@ -187,22 +205,25 @@ def repeated_spans(records: DataFrame, key: str = "id", text: str = "code") -> D
     left = F.element_at(F.array(*map(F.lit, LEFT_2)), F.col("k") + 1)
     starts = level_2.select("text_key", F.explode(F.sequence(F.col("at") - left - (STEP - 1), F.col("at") - left)).alias("at"))
     places = starts.filter("at >= 0").groupBy("text_key").agg(F.collect_set("at").alias("places"))
-    whole = texts.join(places, "text_key").dropDuplicates(["text_key"]).select("text_key", "text", "places")
-    spans = whole.mapInArrow(_spans, "text_key long, at int, h long")
+    return durable(texts.join(places, "text_key").dropDuplicates(["text_key"]).select("text_key", "text", "places"))
+
+
+def repeated_spans(records: DataFrame, key: str = "id", text: str = "code") -> DataFrame:
+    """(text_key, at, h): every place of every text at which a span begins that another text has as well."""
+    spans = _surviving(records, key, text).mapInArrow(_spans(True), "text_key long, at int, h long")
     return spans.join(_repeated(spans.select("text_key", "h")), "h", "left_semi").select("text_key", "at", "h")
 
 
-def sharing_texts(spans: DataFrame) -> DataFrame:
+def sharing_texts(records: DataFrame, key: str = "id", text: str = "code") -> DataFrame:
     """(text_a, text_b): texts that share a span, text_a < text_b, each pair once.
 
-    Neighbouring spans mostly stand in the same set of texts. Each set is known by its size and the sum of its members'
-    hashes, and only one span of each set makes pairs.
+    Neighbouring spans mostly stand in the same set of texts. Each set is known by its size and the mixed hashes of its
+    members, and only one span of each set makes pairs.
     """
-    inside = spans.select("h", "text_key").distinct()
-    mixed = F.xxhash64("text_key").cast("decimal(20,0)")
-    sets = inside.groupBy("h").agg(F.count("*").alias("n"), F.sum(mixed).alias("sum"))
-    chosen = sets.groupBy("n", "sum").agg(F.min("h").alias("h")).select("h")
-    members = inside.join(chosen, "h", "left_semi")
+    inside = _surviving(records, key, text).mapInArrow(_spans(False), "text_key long, h long")
+    sets = inside.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("text_key")).alias("mix")).filter("n > 1")
+    chosen = sets.groupBy("n", "mix").agg(F.min("h").alias("h")).select("h")
+    members = durable(inside.join(chosen, "h", "left_semi"))
     a, b = (members.select("h", F.col("text_key").alias(f"text_{x}")) for x in "ab")
     return a.join(b, "h").filter("text_a < text_b").select("text_a", "text_b").distinct()
 
@@ -213,7 +234,7 @@ def shared_pairs(records: DataFrame, key: str = "id", text: str = "code") -> Dat
     A key may have several rows. Null keys, null texts and texts shorter than SPAN give no row. Keys with equal text of at
     least that length are pairs. Other columns are ignored. An empty table gives an empty result.
     """
-    pairs = sharing_texts(repeated_spans(records, key, text))
+    pairs = sharing_texts(records, key, text)
     long = records.filter(F.col(key).isNotNull() & (F.length(text) >= SPAN))
     members = long.select(F.xxhash64(text).alias("text_key"), F.col(key).alias("key")).distinct()
     first, second = members.withColumnRenamed("key", "ka"), members.withColumnRenamed("key", "kb")
@@ -230,8 +251,6 @@ def shared_parts(records: DataFrame, key: str = "id", text: str = "code") -> Dat
     Every key with a text has a row; a text that another key has as a whole is shared as a whole if it has SPAN characters.
     """
     spans = repeated_spans(records, key, text).select("text_key", "at").distinct()
-    from pyspark.sql import Window
-
     following = F.lead("at").over(Window.partitionBy("text_key").orderBy("at"))
     width = F.least(F.lit(SPAN), F.coalesce(following - F.col("at"), F.lit(SPAN)))
     covered = spans.select("text_key", width.alias("w")).groupBy("text_key").agg(F.sum("w").alias("covered"))
