@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.llm import bpe, leakage, neighbours, spans
+from pyspark.sql import functions as F
+
+from codeloom.llm import bpe, handwritten, leakage, neighbours, spans
 from codeloom.sources.tables import load, spread
 
 
@@ -10,6 +12,15 @@ def p1_found(spark, d):
     return neighbours.neighbour_pairs(spread(load(spark, d, "nodes").select("id", "embedding")))
 
 
+def p4_found(spark, d):
+    return handwritten.foreign_files(spread(load(spark, d, "files"))).select("repository", "file_path").distinct()
+
+
+def p4_kinds(spark, d):
+    kinds = handwritten.foreign_files(spread(load(spark, d, "files")))
+    return kinds.groupBy("repository", "kind").agg(F.count("*").alias("n_files"))
+
+
 def p7_found(spark, d):
     return spans.shared_pairs(spread(load(spark, d, "nodes").select("id", "code")))
 
@@ -35,7 +46,7 @@ def p9_spans(spark, d):
     return leakage.leaked_spans(docs, load(spark, d, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p7_shared": p7_shared, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_kinds": p4_kinds, "p7_found": p7_found, "p7_shared": p7_shared, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
 
 ORACLE: dict[str, str] = {
     "p9_found": """
