@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, handwritten, leakage, neighbours, spans
+from codeloom.llm import bpe, credentials, handwritten, leakage, neighbours, spans
 from codeloom.sources.tables import load, spread
 
 
@@ -12,6 +12,14 @@ def p1_found(spark, d):
     return neighbours.neighbour_pairs(spread(load(spark, d, "nodes").select("id", "embedding")))
 
 
+def p3_found(spark, d):
+    return credentials.find_credentials(spread(load(spark, d, "nodes").select("id", "code")))
+
+
+def p3_redacted(spark, d):
+    return credentials.redact(spread(load(spark, d, "nodes").select("id", "code")))
+
+
 def p4_found(spark, d):
     return handwritten.foreign_files(spread(load(spark, d, "files"))).select("repository", "file_path").distinct()
 
@@ -46,7 +54,7 @@ def p9_spans(spark, d):
     return leakage.leaked_spans(docs, load(spark, d, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_kinds": p4_kinds, "p7_found": p7_found, "p7_shared": p7_shared, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_kinds": p4_kinds, "p7_found": p7_found, "p7_shared": p7_shared, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
 
 ORACLE: dict[str, str] = {
     "p9_found": """
