@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, credentials, handwritten, leakage, neighbours, spans
+from codeloom.llm import bpe, credentials, documented, handwritten, leakage, neighbours, spans
 from codeloom.sources.tables import load, spread
 
 
@@ -29,6 +29,15 @@ def p4_kinds(spark, d):
     return kinds.groupBy("repository", "kind").agg(F.count("*").alias("n_files"))
 
 
+def p6_found(spark, d):
+    return documented.documented_functions(spread(load(spark, d, "nodes").drop("embedding"))).select("id").distinct()
+
+
+def p6_pairs(spark, d):
+    pairs = documented.documented_functions(spread(load(spark, d, "nodes").drop("embedding")))
+    return pairs.dropDuplicates(["id"])
+
+
 def p7_found(spark, d):
     return spans.shared_pairs(spread(load(spark, d, "nodes").select("id", "code")))
 
@@ -54,7 +63,7 @@ def p9_spans(spark, d):
     return leakage.leaked_spans(docs, load(spark, d, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_kinds": p4_kinds, "p7_found": p7_found, "p7_shared": p7_shared, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_kinds": p4_kinds, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_shared": p7_shared, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
 
 ORACLE: dict[str, str] = {
     "p9_found": """
