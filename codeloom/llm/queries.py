@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, credentials, documented, handwritten, leakage, neighbours, spans
+from codeloom.llm import bpe, credentials, documented, handwritten, language, leakage, neighbours, spans
 from codeloom.sources.tables import load, spread
 
 
@@ -63,7 +63,17 @@ def p9_spans(spark, d):
     return leakage.leaked_spans(docs, load(spark, d, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_kinds": p4_kinds, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_shared": p7_shared, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
+def p10_found(spark, d):
+    docs = spread(load(spark, d, "documents").select("doc_id", "text", "lang"))
+    found = language.document_languages(docs).filter(F.col("verdict") != "right")
+    return found.select("doc_id", "lang").distinct()
+
+
+def p10_segments(spark, d):
+    return language.document_segments(spread(load(spark, d, "documents").select("doc_id", "text", "lang")))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_kinds": p4_kinds, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_shared": p7_shared, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_segments": p10_segments}
 
 ORACLE: dict[str, str] = {
     "p9_found": """
