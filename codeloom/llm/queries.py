@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, credentials, documented, handwritten, language, leakage, neighbours, spans
+from codeloom.llm import bpe, credentials, documented, handwritten, language, leakage, neighbours, spans, syntax
 from codeloom.sources.tables import load, spread
 
 
@@ -29,6 +29,14 @@ def p4_kinds(spark, d):
     return kinds.groupBy("repository", "kind").agg(F.count("*").alias("n_files"))
 
 
+def p5_found(spark, d):
+    return syntax.invalid_files(spread(load(spark, d, "files"))).select("repository", "file_path")
+
+
+def p5_rates(spark, d):
+    return syntax.invalid_rates(spread(load(spark, d, "files")))
+
+
 def p6_found(spark, d):
     return documented.documented_functions(spread(load(spark, d, "nodes").drop("embedding"))).select("id").distinct()
 
@@ -73,7 +81,7 @@ def p10_segments(spark, d):
     return language.document_segments(spread(load(spark, d, "documents").select("doc_id", "text", "lang")))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_kinds": p4_kinds, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_shared": p7_shared, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_segments": p10_segments}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_shared": p7_shared, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_segments": p10_segments}
 
 ORACLE: dict[str, str] = {
     "p9_found": """
