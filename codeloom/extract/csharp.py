@@ -13,7 +13,7 @@ MODIFIERS = "public|private|protected|internal|static|abstract|sealed|virtual|ov
 
 _ATTRIBUTES = re.compile(r"\[([^\[\]]*(?:\[[^\]]*\][^\[\]]*)*)\]\s*")
 _TYPE = re.compile(r"^(class|interface|enum|struct|record)\s+(\w+)\s*(?:<[^{:]*?>)?\s*(?:\([^)]*\))?\s*(?::\s*(.*?))?\s*(?:where\s.*)?$", re.S)
-_METHOD = re.compile(r"^(?:(.+?)\s+)?([\w.]+)\s*(?:<[^()]*>)?\s*\(", re.S)
+_METHOD = re.compile(r"^(?:(\([^()]*\)\??|[^()=]+?)\s+)?([\w.]+)\s*(?:<[^()]*>)?\s*\(", re.S)
 
 
 def _plain(text: str) -> str:
@@ -114,11 +114,13 @@ class _Reader:
             node_id = found.node("Constructor" if is_new else "Method", f"{base}.{name}", name, s.line(piece.begin), last, code=code, signature=signature, return_type=None if is_new else _plain(result), stereotypes=[] if is_new else ["test"] * bool(set(names) & TESTS), **common)
             found.edge(owner, node_id, "HAS_CONSTRUCTOR" if is_new else "HAS_METHOD")
             return
+        accessors = re.search(r"\{[^{}]*\}\s*=", head)
+        head = head.replace(accessors.group(), "=") if accessors else head
         left = re.split(r"=", head)[0].strip()
         p = re.match(r"(.+?)\s+(\w+)$", left, re.S)
         if not p or re.match(r"(?:using|event|delegate|return)\b", head):
             return
-        is_property = piece.body >= 0 and "=" not in head or "=>" in head
+        is_property = bool(accessors) or piece.body >= 0 and "=" not in head or "=>" in head
         if is_property:
             common["modifiers"] = [*modifiers, "property"]
         for name in [p.group(2)] if is_property else [re.match(r"\w+", x).group() for x in split_top(head[len(p.group(1)) :]) if re.match(r"\w+", x)]:
