@@ -115,8 +115,9 @@ def comment_before(code: str) -> str | None:
             m = re.compile(r"@[\w.]+\s*(\()?|\[").match(code, at)
             at, depth = m.end(), 1 if m.group().endswith(("(", "[")) else 0
             while at < n and depth:
-                depth += (code[at] in "([") - (code[at] in ")]")
-                at += 1
+                text = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'").match(code, at)
+                depth += 0 if text else (code[at] in "([") - (code[at] in ")]")
+                at = text.end() if text else at + 1
         else:
             break
     return found

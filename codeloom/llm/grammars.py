@@ -157,8 +157,8 @@ Export = 'export' '*' ( 'as' ( Name | STR ) )? 'from' STR Attrib? Semi | 'export
 ExportFn = Decl | Decor* ts?Abs 'class' ClassTail | 'async'? 'function' '*'? Sig {:Block:}
 Semi = ';' | NL
 Block = Stmt* LastStmt?
-LastStmt = ExprStmt | VarStmt | 'return' Expr? | 'throw' Expr | ( 'break' | 'continue' ) ID? | 'do' Stmt 'while' (:Cond:) | 'debugger' | LastIf | 'export' 'default' Expr | 'export' VarStmt | 'export' {:ImpNames:} ( 'from' STR )? | 'export' '*' 'from' STR | 'import' STR | 'import' ( ID | ( ID ',' )? ( '*' 'as' ID | {:ImpNames:} ) ) 'from' STR | 'for' (:ForCtl:) LastStmt | 'while' (:Cond:) LastStmt
-LastIf = 'if' (:Cond:) NL? ( LastStmt | Stmt 'else' NL? LastStmt )
+LastStmt = ExprStmt | VarStmt | 'return' Expr? | 'throw' Expr | ( 'break' | 'continue' ) ID? | 'do' Stmt 'while' (:Cond:) | 'debugger' | LastIf | 'export' 'default' Expr | 'export' VarStmt | 'export' {:ImpNames:} ( 'from' STR )? | 'export' '*' 'from' STR | 'import' STR | 'import' ( ID | ( ID ',' )? ( '*' 'as' ID | {:ImpNames:} ) ) 'from' STR | 'for' (:ForCtl:) LastStmt | 'while' (:Cond:) LastStmt | ID ':' LastStmt
+LastIf = 'if' (:Cond:) NL? ( LastStmt | Stmt NL? 'else' NL? LastStmt )
 Stmt = {:Block:} | ';' | NL | Decl | VarStmt Semi | ExprStmt Semi | If | 'while' (:Cond:) NL? Stmt | 'do' Stmt 'while' (:Cond:) ';'? | 'for' 'await'? (:ForCtl:) NL? Stmt | 'switch' (:Cond:) {:SwBody:} | 'try' {:Block:} ( Catch Finally? | Finally ) | 'return' Expr? Semi | 'throw' Expr Semi | ( 'break' | 'continue' ) ID? Semi | ID ':' Stmt | 'debugger' Semi
 If = 'if' (:Cond:) NL? Stmt ( NL? 'else' NL? Stmt )?
 With = 'with' (:Cond:) NL? Stmt
@@ -233,6 +233,9 @@ ts|TMember = ( PM? 'readonly' )? ( 'get' | 'set' )? PropName '?'? Sig | ( PM? 'r
 ts|TKey = ID ':' Type | ID 'in' Type ( 'as' Type )?
 ts|Decl = 'interface' ID TParams ( 'extends' HType ( ',' HType )* )? {:TBody:} | 'type' ID TParams '=' Type Semi | 'const'? 'enum' ID {:EnumBody:} | 'declare' ( Decl | VarStmt Semi | 'global' {:Module:} ) | ( 'namespace' | 'module' ) ( TName | STR ) ( {:Module:} | Semi ) | Decor* 'abstract' 'class' ID ClassTail
 ts|LastStmt = 'type' ID TParams '=' Type | 'declare' VarStmt | 'export' 'type' ID TParams '=' Type
+ts|LastStmt = 'export' 'type' {:ImpNames:} ( 'from' STR )? | 'import' 'type' ( ID | {:ImpNames:} | '*' 'as' ID ) 'from' STR | 'export' '=' Expr
+ts|LastMember = Decor* Access ( 'get' | 'set' )? PropName TsOpt Sig
+ts|Param = 'this' TAnn
 ts|HType = TName TArgs
 ts|EnumBody = ( EnumItem ( ',' EnumItem )* ','? )?
 ts|EnumItem = ( Name | STR ) ( '=' Assign )?

@@ -124,6 +124,8 @@ def _short(tokens: tuple[str, ...]) -> tuple[str, ...]:
 
 _TRIVIA = r"((?:[ \t\f\v\u00a0\ufeff\r\n\u2028\u2029]+|//[^\r\n]*|/\*(?s:.*?)\*/)*)"
 _NAME = r"(?:[^\W\d]|[$_]|\\u[0-9a-fA-F]{4})(?:\w|\$|\\u[0-9a-fA-F]{4})*"
+#: In C# the dollar sign begins a literal.
+_PLAIN_NAME = r"(?:[^\W\d]|_|\\u[0-9a-fA-F]{4})(?:\w|\\u[0-9a-fA-F]{4})*"
 _DIGITS = r"(?:0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)"
 _STRING = r"\"(?:[^\"\\\r\n]|\\(?:\r\n|(?s:.)))*\""
 _PLAIN_STRING = r"\"(?:[^\"\\\r\n]|\\.)*\""
@@ -134,7 +136,8 @@ class Language:
 
     def __init__(self, grammar: str, lists: tuple[str, ...], tops: tuple[str, ...], literals: str, signs: str, keywords: str, contextual: str, classes: dict[str, str], starters: str, ecma: bool = False) -> None:
         self.shapes = Shapes(grammar, lists, tops)
-        self.pattern = re.compile(_TRIVIA + rf"(?:({_NAME})|({literals})|({signs}))")
+        name = _NAME if "$" not in literals else _PLAIN_NAME
+        self.pattern = re.compile(_TRIVIA + rf"(?:({name})|({literals})|({signs}))")
         self.trivia = re.compile(_TRIVIA)
         self.keywords, self.starters, self.ecma = _words(keywords), _words(starters), ecma
         self.class_of: dict[str, str] = {}
@@ -165,7 +168,7 @@ class Language:
         out, begin, n = [], 0, len(tokens)
         for i in range(n - 1):
             t, after = tokens[i], tokens[i + 1]
-            if t == ";" and after not in ("else", "while", "NL") or t[0] == "{" and after in self.starters or self.ecma and t == "NL" and i > begin and tokens[i - 1][0] == "{":
+            if t == ";" and after not in ("else", "while", "NL") or t[0] == "{" and after in self.starters or self.ecma and t == "NL" and i > begin and tokens[i - 1][0] == "{" and after != "else":
                 out.append(tokens[begin : i + 1])
                 begin = i + 1
         if begin < n:
@@ -174,7 +177,7 @@ class Language:
 
 
 _OPERAND_END = frozenset(("ID", "NUM", "STR", "CHR", "LIT", "TPL", "REGEX", "JSX", "this", "super", "PRIVATE", "INC"))
-_NO_NL_BEFORE = frozenset("else catch finally while in of instanceof as satisfies extends implements from is".split())
+_NO_NL_BEFORE = frozenset("catch finally while in of instanceof as satisfies extends implements from is".split())
 
 
 class Scanner:
@@ -594,7 +597,8 @@ def invalid_files(files: DataFrame) -> DataFrame:
 def invalid_rates(files: DataFrame) -> DataFrame:
     """(repository, suffix, n_files, n_invalid, rate): files of each repository and language suffix, and how many do not parse."""
     keys = ["repository", "suffix"]
-    known = files.filter(F.col("suffix").isin(*SUFFIXES)).select(*keys, "file_path").distinct().groupBy(*keys).agg(F.count("*").alias("n_files"))
+    own = F.coalesce("suffix", F.concat(F.lit("."), F.substring_index("file_path", ".", -1)))
+    known = files.withColumn("suffix", own).filter(F.col("suffix").isin(*SUFFIXES)).select(*keys, "file_path").distinct().groupBy(*keys).agg(F.count("*").alias("n_files"))
     bad = invalid_files(files).groupBy(*keys).agg(F.count("*").alias("n_invalid"))
     n = F.coalesce("n_invalid", F.lit(0).cast("long"))
     return known.join(bad, keys, "left").select(*keys, "n_files", n.alias("n_invalid"), F.round(n / F.col("n_files"), 6).alias("rate"))
