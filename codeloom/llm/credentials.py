@@ -30,7 +30,9 @@ KEYED = frozenset("api access private encryption signing auth secret client webh
 PLAIN = frozenset("public checksum digest etag sha sha1 sha256 sha512 md5 md5sum hash integrity fingerprint commit revision uuid guid tenant request trace correlation icon image".split())
 #: Placeholders.
 PLACEHOLDER = re.compile(
-    r"(?i)^(?:[*x.\-_?#]+|<[^>]*>|\[[^\]]*\]|\$\{.*\}?|\$\(.*|\{\{.*|%\(?\w+\)?s?%?|\$[A-Z_]+|.*\b(?:your|my|replace|change|insert|example|sample|dummy|placeholder|redacted|todo|fixme|tbd|none|null|undefined|empty|changeme|default|test|foobar|foo|bar)[-_ ]?(?:me|this|here|key|token|password|secret|api|value)?\b.*|.*(?:YOUR[-_]|REPLACE[-_]?ME|CHANGE[-_]?ME|_HERE).*)$"
+    r"(?i)^(?:[*x.\-_?#]+|<[^>]*>|\[[^\]]*\]|\$\{.*\}?|\$\(.*|\{\{.*|%\(?\w+\)?s?%?|\$[A-Z_]+"
+    r"|(?:your|my|replace|change|insert|enter|put|add|set)[-_ ]?(?:me|this|here|your|my|the|an?|in|with)?(?:[-_ ]?(?:api|key|token|password|passwd|secret|value|here|access|auth|client|id))*"
+    r"|(?:dummy|example|sample|placeholder|redacted|hidden|masked|todo|fixme|tbd|none|null|nil|undefined|empty|changeme|default|test|testing|foobar|foo|bar|secret|password|token|key)(?:[-_ ]?(?:key|token|password|secret|value))?)$"
 )
 #: Forms of issued tokens.
 ISSUED = re.compile(
@@ -72,11 +74,15 @@ class Words:
         """Characters of the run that the best segmentation leaves unexplained."""
         if run.isdigit():
             return 0 if len(run) <= 6 else len(run)
+        left = self._segment(run, 3)
+        return left if left == 0 else self._segment(run, 4)  # chance hits of short words explain nothing
+
+    def _segment(self, run: str, least: int) -> int:
         text, n = run.lower(), len(run)
         best, left = [0.0] + [math.inf] * n, [0] * (n + 1)
         for end in range(1, n + 1):
             best[end], left[end] = best[end - 1] + self.unknown, left[end - 1] + 1
-            for begin in range(max(0, end - self.longest), end - 1):
+            for begin in range(max(0, end - self.longest), end - least + 1):
                 c = self.cost.get(text[begin:end])
                 if c is not None and best[begin] + c < best[end]:
                     best[end], left[end] = best[begin] + c, left[begin]
