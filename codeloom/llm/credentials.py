@@ -57,6 +57,8 @@ _CODE_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _RUN = re.compile(r"[A-Za-z0-9]+")
 _HASHES = re.compile(r"(?i)^(?:(?:md5|sha\d+)[:-])?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|sha\d+-[A-Za-z0-9+/]+=*)$")
 _PREFIXES = re.compile(r"(?i)^(?:data:|ssh-(?:rsa|ed25519|dss)\b|ecdsa-|-----)")
+#: A call that fetches what its argument names.
+_LOOKUP = re.compile(r"(?i)\b(?:read|get|fetch|load|look_?up|resolve|require)_?\w*\(\s*$|\benv\w*[.\[]?\w*[(\[]\s*$")
 _LOOKS = re.compile(r"(?i)pass|secret|token|key|pwd|\bpw|auth|cred|://|begin|log-?in|account|access|basic|[?&]sig=|eyj|gh[pousr]_|glpat|xox|k_live|k_test|akia|aiza|npm_|hf_|sk-|ya29|pin\b|psk")
 
 
@@ -199,6 +201,8 @@ class Finder:
 
     def _named(self, line: str, at: int, value: str) -> bool:
         left = line[:at]
+        if _LOOKUP.search(left):
+            return False
         near = _near_name(left)
         if telling(near):
             if set(_names(near)) == {"token"} and self.words.unexplained(value) < RESIDUAL:
