@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 LANGUAGES = ("en", "de", "fr", "es", "pt", "nl")
 #: Lengths of n-grams, and numbers they are hashed to.
 SPECTRUM, BINS = (2, 3, 4), 1 << 14
+#: Texts whose presence is marked at a time.
+ROWS = 64
 #: Bounds of the sample that is fitted: labelled documents (those with the least hashes among the not very long), their
 #: longest length, sentences and landmarks a language.
 SAMPLE, SAMPLE_CHARS, TRAIN, LANDMARKS = 9_000, 20_000, 500, 60
@@ -62,12 +64,23 @@ def label_language(label: str | None) -> str | None:
     return _NAMED.get(text) or _NAMED.get(re.split(r"[-_ (]", text)[0])
 
 
+class _Kept(dict):
+    """What becomes of each character: combining, invisible and control signs go."""
+
+    def __missing__(self, c: int) -> int | None:
+        self[c] = kept = None if unicodedata.category(chr(c)) in ("Mn", "Cf", "Cc", "Co") else c
+        return kept
+
+
+_KEPT = _Kept()
+
+
 def fold(text: str) -> str:
     """Lower case without accents, invisible and combining signs."""
     if text.isascii():
         return text.lower()
     text = text.replace("ß", "ss")
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if unicodedata.category(c) not in ("Mn", "Cf", "Cc", "Co"))
+    return unicodedata.normalize("NFKD", text.lower()).translate(_KEPT)
 
 
 def sentences(text: str | None) -> list[tuple[int, str]]:
@@ -105,7 +118,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter((len(t) + 2 for t in texts), np.int64, len(texts))
     ends = np.cumsum(size)
     own = np.repeat(np.arange(len(texts)), size)
-    keys = []
+    rows, keys = [], []
     for n in SPECTRUM:
         if len(points) < n:
             continue
@@ -115,9 +128,18 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h ^= h >> np.uint64(29)
         first = own[: len(h)]
         inside = np.arange(len(h)) + n <= ends[first]
-        keys.append(first[inside] * BINS + (h[inside] % np.uint64(BINS)).astype(np.int64))
-    unique = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-    return unique // BINS, unique % BINS
+        rows.append(first[inside])
+        keys.append((h[inside] % np.uint64(BINS)).astype(np.int64))
+    out_row, out_gram = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for begin in range(0, len(texts), ROWS):  # the presence matrix, ROWS texts at a time
+        present = np.zeros(ROWS * BINS, bool)
+        for r, k in zip(rows, keys):
+            a, b = np.searchsorted(r, (begin, begin + ROWS))
+            present[(r[a:b] - begin) * BINS + k[a:b]] = True
+        found = np.flatnonzero(present)
+        out_row.append(found // BINS + begin)
+        out_gram.append(found % BINS)
+    return np.concatenate(out_row), np.concatenate(out_gram)
 
 
 class Model:
