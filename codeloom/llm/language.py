@@ -51,7 +51,7 @@ _QUOTE = re.compile(r"\(\"[^\"\n]*\"\)|\"[^\"\n]{1,80}\"|[“„«][^”“»\n]
 _LINE_MARK = re.compile(r"^[ \t]*(?:(?:>|#+|\*|//+|--|;)[ \t]?)+|^[ \t]*(?:[-+•]|\d+[.)])[ \t]+|[ \t]*\*/[ \t]*$")
 _ITEM = re.compile(r"^[ \t]*(?:[-+*•]|\d+[.)])[ \t]+")
 _BREAK = re.compile(r"(?<=[.!?…])[\"')\]»”]*\s+")
-_WORD = re.compile(r"^[^\w]*([^\W\d_]+(?:['’-][^\W\d_]+)*)[^\w]*$")
+_WORD = re.compile(r"(?<![^\s(\[\"'«„“¡¿*])[^\W\d_]+(?:['’-][^\W\d_]+)*(?=[.,;:!?…)\]\"'»”*]*(?:\s|$))")
 _CAMEL = re.compile(r"[a-z][A-Z]")
 _END = re.compile(r"[.!?…][\"')\]»”]*$")
 
@@ -105,7 +105,7 @@ def sentences(text: str | None) -> list[tuple[int, str]]:
             for sentence in _BREAK.split(_QUOTE.sub(" ", _INLINE.sub(" ", line)).strip()):
                 if not _END.search(sentence.strip()):
                     continue
-                words = [m.group(1) for w in sentence.split() if (m := _WORD.match(w)) and not _CAMEL.search(w) and "()" not in w]
+                words = [w for w in _WORD.findall(sentence) if w.islower() or not _CAMEL.search(w)]
                 if len(words) >= WORDS:
                     out.append((len(out) + 1, fold(" ".join(words))))
     return out
