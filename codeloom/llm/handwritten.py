@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.sources.tables import durable
+
 
 class Limits(NamedTuple):
     """What a hand-written file of a language stays within."""
@@ -125,9 +127,9 @@ def foreign_files(files: DataFrame) -> DataFrame:
     Null or blank contents give no row; files delivered twice count once; a null suffix is taken from the path. A copy is a file of
     which the same code is present in another repository, whatever its path and its banner.
     """
-    judged = files.select("repository", "file_path", "suffix", "content").mapInArrow(
-        _judge, "repository string, file_path string, kind string, body string"
-    )
+    judged = durable(
+        files.select("repository", "file_path", "suffix", "content").mapInArrow(_judge, "repository string, file_path string, kind string, body string")
+    )  # read three times below, and small beside the contents
     named = judged.filter(F.col("kind").isNotNull()).select("repository", "file_path", "kind")
     bodies = judged.filter(F.col("body").isNotNull()).select("repository", "file_path", "body").distinct()
     spread = bodies.groupBy("body").agg(F.min("repository").alias("a"), F.max("repository").alias("b")).filter("a < b")
