@@ -98,11 +98,17 @@ def _sliding(fold: np.ufunc, x: np.ndarray, wide: int) -> np.ndarray:
     return fold(back[: n - wide + 1], ahead[wide - 1 : n])
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str], list]]:
-    """Rows of a batch, CHUNK characters at a time: keys, texts and what else the third column holds."""
+def _chunks(batch: pa.RecordBatch, seen: set[int]) -> Iterator[tuple[list[int], list[str], list]]:
+    """Rows of a batch, CHUNK characters at a time: keys, texts and what else the third column holds.
+
+    A text that the partition had before is passed over, so that a third of all rows with one text costs one row a partition.
+    """
     rest = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
     keys, texts, more, size = [], [], [], 0
     for key, text, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), rest):
+        if key in seen:
+            continue
+        seen.add(key)
         keys.append(key), texts.append(text), more.append(other)
         size += len(text)
         if size >= CHUNK:
@@ -112,6 +118,18 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str], list]
         yield keys, texts, more
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text of a partition once."""
+    seen: set[int] = set()
+    for batch in batches:
+        keep = []
+        for i, key in enumerate(batch.column(0).to_pylist()):
+            if key not in seen:
+                seen.add(key)
+                keep.append(i)
+        yield batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
@@ -120,8 +138,9 @@ def _anchors(deep: bool):
     """Anchors of each text; deep: with the hashes of all their extensions (0: it leaves the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for keys, texts, _ in _chunks(batch):
+            for keys, texts, _ in _chunks(batch, seen):
                 h = Hasher(texts)
                 at = h.anchors()
                 own = h.owner(at)
@@ -144,8 +163,9 @@ def _spans(places: bool):
     """Hashes of whole spans at the places listed for each text; without places, each hash of a text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for keys, texts, listed in _chunks(batch):
+            for keys, texts, listed in _chunks(batch, seen):
                 h = Hasher(texts)
                 size = np.array([len(p) for p in listed])
                 local = np.fromiter((x for p in listed for x in p), np.int64, int(size.sum()))
@@ -205,7 +225,8 @@ def _surviving(records: DataFrame, key: str, text: str) -> DataFrame:
     left = F.element_at(F.array(*map(F.lit, LEFT_2)), F.col("k") + 1)
     starts = level_2.select("text_key", F.explode(F.sequence(F.col("at") - left - (STEP - 1), F.col("at") - left)).alias("at"))
     places = starts.filter("at >= 0").groupBy("text_key").agg(F.collect_set("at").alias("places"))
-    return durable(texts.join(places, "text_key").dropDuplicates(["text_key"]).select("text_key", "text", "places"))
+    once = texts.mapInArrow(_once, "text_key long, text string")
+    return durable(once.join(places, "text_key").dropDuplicates(["text_key"]).select("text_key", "text", "places"))
 
 
 def repeated_spans(records: DataFrame, key: str = "id", text: str = "code") -> DataFrame:
