@@ -1,14 +1,15 @@
 """Most similar vectors for every vector (problem 1), by collision counting over single projections.
 
 Each projection orders all vectors in one array. Near its far end an array is selective: two similar vectors lie far out in
-the same arrays. Every vector therefore enters the FAR arrays, of a number that grows with the table, in which it lies
+the same arrays. Every vector therefore enters the FAR arrays, of a number that grows with the table up to CELLS, in which it lies
 farthest out; the far end of one array is a cell, and the cells are what Spark distributes. Within a cell, COUNTED more
 projections (orthogonal ones) keep sorted arrays of its members. A window centred on the query is opened in each of
 them; members that fall in at least THRESHOLD of the windows are verified by their cosine. While fewer than k
 members are found within the radius that the windows stand for, they widen to the next radius (virtual rehashing).
 
 The projections come from a fixed seed, so nothing is fitted, and every vector is both query and data. A cell with more than
-HOT members, as one dense cluster makes, is parted again by projections of what remains after its mean is taken away.
+HOT members, as one dense cluster or a very large table makes, is parted again by projections of what remains after its mean
+is taken away, so that the cost of assigning a vector stays bounded.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ DIMENSIONS = 64
 NEIGHBOURS = 5
 #: Least cosine of a neighbour.
 LIMIT = 0.85
-#: Arrays that a vector enters, and members that a cell has on average.
-FAR, CELL = 4, 600
-#: Members beyond which a cell is parted again.
+#: Arrays that a vector enters, members that a cell has on average, and the largest number of first cells.
+FAR, CELL, CELLS = 4, 600, 16_384
+#: Members beyond which a cell is parted again, as all cells of a very large table are.
 HOT = 12_000
 #: Counted projections, and windows out of these that a candidate must share.
 COUNTED, THRESHOLD = 16, 13
@@ -118,38 +119,45 @@ def _cell_sizes(n_cells: int):
 
 
 def _hot_sums(n_cells: int, hot: list[int]):
+    """Sums of the vectors of each cell that is to be parted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, sums = directions(n_cells), {h: np.zeros(DIMENSIONS) for h in hot}
+        d, sums, wanted = directions(n_cells), np.zeros((len(hot), DIMENSIONS)), np.array(hot)
         for batch in batches:
             x = _unit(batch)[1]
             far = _far_ends(x, d)
-            for h in hot:
-                sums[h] += x[(far == h).any(axis=1)].sum(axis=0)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(hot, pa.int32()), "total": pa.array(list(sums.values()), pa.list_(pa.float64()))})
+            row, cell = np.repeat(np.arange(len(x)), far.shape[1]), far.ravel()
+            inside = np.isin(cell, wanted)
+            np.add.at(sums, np.searchsorted(wanted, cell[inside]), x[row[inside]])
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(hot, pa.int32()), "total": pa.array(sums.tolist(), pa.list_(pa.float64()))})
 
     return run
 
 
 def _assign(n_cells: int, hot: dict[int, tuple[int, np.ndarray]]):
-    """Rows (cell, part, key, vector): each vector once for each far end; part is 0 but in hot cells."""
+    """Rows (cell, part, key, vector): each vector once for each far end; part is 0 but in parted cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = directions(n_cells)
+        inner = directions(max((max(FAR, n * FAR // CELL) for n, _ in hot.values()), default=FAR), 1)
         for batch in batches:
             keys, x = _unit(batch)
             far = _far_ends(x, d)
             row, cell = np.repeat(np.arange(len(x)), far.shape[1]), far.ravel()
             part = np.zeros(len(row), np.int64)
             if hot:
-                cold = ~np.isin(cell, list(hot))
-                rows, cells, parts = [row[cold]], [cell[cold]], [part[cold]]
-                for h, (n, mean) in hot.items():
-                    own = row[cell == h]
-                    rest = x[own] - mean
-                    ends = _far_ends(rest, directions(max(FAR, n * FAR // CELL), 1 + h))
-                    rows.append(np.repeat(own, ends.shape[1]))
-                    cells.append(np.full(ends.size, h))
-                    parts.append(ends.ravel() + 1)
+                order = np.argsort(cell, kind="stable")
+                row, cell = row[order], cell[order]
+                begins = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+                rows, cells, parts = [], [], []
+                for begin, end in zip(begins, np.r_[begins[1:], len(cell)]):
+                    own, c = row[begin:end], int(cell[begin])
+                    if c not in hot:
+                        rows.append(own), cells.append(cell[begin:end]), parts.append(part[begin:end])
+                        continue
+                    n, mean = hot[c]
+                    ends = _far_ends(x[own] - mean, inner[:, : max(FAR, n * FAR // CELL)])
+                    rows.append(np.repeat(own, ends.shape[1])), cells.append(np.full(ends.size, c)), parts.append(ends.ravel() + 1)
                 row, cell, part = np.concatenate(rows), np.concatenate(cells), np.concatenate(parts)
             for i in range(0, len(row), 4 * ROWS):
                 r = row[i : i + 4 * ROWS]
@@ -181,12 +189,12 @@ def _usable(records: DataFrame, key: str, vector: str) -> DataFrame:
 def nearest_classes(records: DataFrame, key: str = "id", vector: str = "embedding") -> DataFrame:
     """(a, b, cosine): of each distinct vector, known by its hash, the NEIGHBOURS nearest other ones."""
     vectors = _usable(records, key, vector).select(F.xxhash64(vector).alias("key"), F.col(vector).alias("vector"))
-    n_cells = max(2 * FAR, vectors.count() * FAR // CELL)
+    n_cells = min(CELLS, max(2 * FAR, vectors.count() * FAR // CELL))
     sizes = vectors.mapInArrow(_cell_sizes(n_cells), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    hot = {r.cell: r.n for r in sizes.filter(F.col("n") > HOT).collect()}  # at most FAR * rows / HOT
+    hot = {r.cell: r.n for r in sizes.filter(F.col("n") > HOT).collect()}  # at most CELLS rows
     means = {}
     if hot:
-        sums = vectors.mapInArrow(_hot_sums(n_cells, list(hot)), "cell int, total array<double>")
+        sums = vectors.mapInArrow(_hot_sums(n_cells, sorted(hot)), "cell int, total array<double>")
         each = sums.select("cell", F.posexplode("total")).groupBy("cell", "pos").agg(F.sum("col").alias("x"))
         for r in each.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).collect():
             means[r.cell] = (hot[r.cell], np.array([x for _, x in r.v], np.float32) / hot[r.cell])
