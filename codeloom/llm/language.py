@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 LANGUAGES = ("en", "de", "fr", "es", "pt", "nl")
 #: Lengths of n-grams, and numbers they are hashed to.
 SPECTRUM, BINS = (2, 3, 4), 1 << 14
-#: Texts whose presence is marked at a time.
-ROWS = 64
+#: Texts whose presence is marked at a time, and documents that are judged at a time.
+ROWS, DOCS = 64, 4_000
 #: Bounds of the sample that is fitted: labelled documents (those with the least key hashes among the not very long), their
 #: longest length, sentences and landmarks a language.
 SAMPLE, SAMPLE_CHARS, TRAIN, LANDMARKS = 9_000, 8_000, 500, 60
@@ -49,6 +49,8 @@ _FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)")
 _INLINE = re.compile(r"`[^`\n]*`")
 _QUOTE = re.compile(r"\(\"[^\"\n]*\"\)|\"[^\"\n]{1,80}\"|[“„«][^”“»\n]{1,80}[”“»]")
 _LINE_MARK = re.compile(r"^[ \t]*(?:(?:>|#+|\*|//+|--|;)[ \t]?)+|^[ \t]*(?:[-+•]|\d+[.)])[ \t]+|[ \t]*\*/[ \t]*$")
+#: Characters with which a marked line may begin.
+_MARKS = frozenset(" \t>#*/-;+•0123456789") - {""}
 _ITEM = re.compile(r"^[ \t]*(?:[-+*•]|\d+[.)])[ \t]+")
 _BREAK = re.compile(r"(?<=[.!?…])[\"')\]»”]*\s+")
 _WORD = re.compile(r"(?<![^\s(\[\"'«„“¡¿*])[^\W\d_]+(?:['’-][^\W\d_]+)*(?=[.,;:!?…)\]\"'»”*]*(?:\s|$))")
@@ -92,8 +94,11 @@ def sentences(text: str | None) -> list[tuple[int, str]]:
     for block in re.split(r"\n[ \t]*\n", text):
         lines, run = [], []
         for line in block.split("\n"):
-            item = bool(_ITEM.match(line))
-            bare = _LINE_MARK.sub("", line).strip()
+            item = False
+            if line[:1] in _MARKS or line.endswith("*/"):
+                item = bool(_ITEM.match(line))
+                line = _LINE_MARK.sub("", line)
+            bare = line.strip()
             if item and run:
                 lines.append(" ".join(run))
                 run = []
@@ -102,7 +107,11 @@ def sentences(text: str | None) -> list[tuple[int, str]]:
         if run:
             lines.append(" ".join(run))
         for line in lines:
-            for sentence in _BREAK.split(_QUOTE.sub(" ", _INLINE.sub(" ", line)).strip()):
+            if "`" in line:
+                line = _INLINE.sub(" ", line)
+            if any(c in line for c in "\"“„«"):
+                line = _QUOTE.sub(" ", line)
+            for sentence in _BREAK.split(line.strip()):
                 if not _END.search(sentence.strip()):
                     continue
                 words = [w for w in _WORD.findall(sentence) if w.islower() or not _CAMEL.search(w)]
@@ -217,14 +226,13 @@ def sampled_model(docs: DataFrame, key: str = "doc_id", text: str = "text", labe
 
 
 def _segments(model: Model, texts: list[str | None]) -> list[list[tuple[str, float]]]:
-    """Language and confidence of every whole sentence of every text."""
+    """Language and confidence of every whole sentence of every text; equal sentences are scored once."""
     split = [[s for _, s in sentences(t)] for t in texts]
-    got = model.classify([s for x in split for s in x])
-    out, at = [], 0
-    for x in split:
-        out.append(got[at : at + len(x)])
-        at += len(x)
-    return out
+    distinct = list({s for x in split for s in x})
+    known: dict[str, tuple[str, float]] = {}
+    for i in range(0, len(distinct), 4_000):
+        known.update(zip(distinct[i : i + 4_000], model.classify(distinct[i : i + 4_000])))
+    return [[known[s] for s in x] for x in split]
 
 
 def languages_of(found: list[tuple[str, float]]) -> list[tuple[str, int, float]]:
@@ -249,8 +257,8 @@ def document_languages(docs: DataFrame, key: str = "doc_id", text: str = "text",
         for batch in batches:
             keys, texts, labels = (batch.column(i).to_pylist() for i in range(3))
             rows = []
-            for i in range(0, len(keys), 500):
-                for k, named, found in zip(keys[i : i + 500], labels[i : i + 500], _segments(model, texts[i : i + 500])):
+            for i in range(0, len(keys), DOCS):
+                for k, named, found in zip(keys[i : i + DOCS], labels[i : i + DOCS], _segments(model, texts[i : i + DOCS])):
                     kept = languages_of(found)
                     said = label_language(named)
                     verdict = "mixed" if len(kept) > 1 else "missing" if said == "" else "right" if kept and said == kept[0][0] else "wrong"
@@ -272,8 +280,8 @@ def document_segments(docs: DataFrame, key: str = "doc_id", text: str = "text",
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
-            for i in range(0, len(keys), 500):
-                for k, found in zip(keys[i : i + 500], _segments(model, texts[i : i + 500])):
+            for i in range(0, len(keys), DOCS):
+                for k, found in zip(keys[i : i + DOCS], _segments(model, texts[i : i + DOCS])):
                     runs: list[list] = []
                     for n, (x, p) in enumerate(found, 1):
                         if runs and runs[-1][0] == x:
