@@ -20,7 +20,7 @@ from codeloom.llm import grammars
 from codeloom.llm.gll import Grammar
 
 #: Shapes that a worker remembers for each language.
-REMEMBER = 300_000
+REMEMBER = 100_000
 #: Language and whether it has JSX, by suffix.
 SUFFIXES = {".py": ("python", False), ".java": ("java", False), ".cs": ("csharp", False), ".js": ("javascript", True), ".jsx": ("javascript", True), ".mjs": ("javascript", True), ".ts": ("typescript", False), ".tsx": ("typescript", True)}
 _CLOSER = {"(": ")", "[": "]", "{": "}"}
