@@ -8,8 +8,9 @@ them; members that fall in at least THRESHOLD of the windows are verified by the
 members are found within the radius that the windows stand for, they widen to the next radius (virtual rehashing).
 
 The projections come from a fixed seed, so nothing is fitted, and every vector is both query and data. A cell with more than
-HOT members, as one dense cluster or a very large table makes, is parted again by projections of what remains after its mean
-is taken away, so that the cost of assigning a vector stays bounded.
+HOT members, as one dense cluster or a very large table makes, is cut into blocks, and each pair of its blocks is a task: all its
+members stay comparable, at a cost that grows with the square of their number. Where the windows hold most members anyway,
+counting tells nothing and all members are verified.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ NEIGHBOURS = 5
 LIMIT = 0.85
 #: Arrays that a vector enters, members that a cell has on average, and the largest number of first cells.
 FAR, CELL, CELLS = 4, 600, 16_384
-#: Members beyond which a cell is parted again, as all cells of a very large table are.
+#: Members beyond which a cell is cut into blocks of about that size.
 HOT = 12_000
 #: Counted projections, and windows out of these that a candidate must share.
 COUNTED, THRESHOLD = 16, 13
@@ -35,8 +36,10 @@ COUNTED, THRESHOLD = 16, 13
 RADII = (0.25, 0.4, float(np.sqrt(2 - 2 * LIMIT)))
 #: Half a window's width: this many standard deviations of the projected difference of two vectors at the radius.
 SPREAD = 2.2
-#: Queries of a cell handled at a time, and vectors projected at a time.
-BLOCK, ROWS = 256, 2048
+#: Mean share of the members in a window beyond which all are verified.
+CROWDED = 0.75
+#: Queries of a cell handled at a time, vectors projected at a time, and pairs verified at a time.
+BLOCK, ROWS, PAIRS = 256, 2048, 100_000
 _SEED = 20240117
 
 
@@ -65,42 +68,77 @@ def _unit(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return keys, x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def nearest(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, neighbour, cosine) of one cell: of each member its NEIGHBOURS nearest with LIMIT at least."""
-    n = len(x)
-    projected = x @ counted_directions()
-    arrays = np.sort(projected, axis=0)
+def _cosines(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the pairs (a, b), PAIRS at a time."""
+    parts = [np.einsum("ij,ij->i", x[a[i : i + PAIRS]], x[b[i : i + PAIRS]]) for i in range(0, len(a), PAIRS)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.float32)
+
+
+def _all_near(x: np.ndarray, todo: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in todo, member, cosine) of each query's best members, all of which are verified."""
+    cosine = x[todo] @ x[members].T
+    cosine[todo[:, None] == members] = -1
+    k = min(NEIGHBOURS, len(members))
+    least = np.partition(cosine, len(members) - k, axis=1)[:, len(members) - k]
+    q, c = np.nonzero(cosine >= np.maximum(least, np.float32(LIMIT))[:, None])
+    return q, members[c], cosine[q, c]
+
+
+def _among(keys: np.ndarray, x: np.ndarray, projected: np.ndarray, queries: np.ndarray, members: np.ndarray) -> Iterator[tuple]:
+    """(query, neighbour, cosine): of each query its NEIGHBOURS nearest among the members, by their places in x."""
+    n = len(members)
+    arrays = np.sort(projected[members], axis=0)
     rank = np.empty((COUNTED, n), np.int32)
     for j in range(COUNTED):
-        rank[j, np.argsort(projected[:, j], kind="stable")] = np.arange(n, dtype=np.int32)
-    out = []
-    for begin in range(0, n, BLOCK):
-        todo = np.arange(begin, min(n, begin + BLOCK))
+        rank[j, np.argsort(projected[members, j], kind="stable")] = np.arange(n, dtype=np.int32)
+    for begin in range(0, len(queries), BLOCK):
+        todo = queries[begin : begin + BLOCK]
         for radius in RADII:
             half = SPREAD * radius / np.sqrt(DIMENSIONS)
-            shared = np.zeros((len(todo), n), np.uint8)
+            low, high = np.empty((2, COUNTED, len(todo)), np.int32)
             for j in range(COUNTED):
-                low = np.searchsorted(arrays[:, j], projected[todo, j] - half, "left").astype(np.int32)
-                high = np.searchsorted(arrays[:, j], projected[todo, j] + half, "right").astype(np.int32)
-                shared += (rank[j] - low[:, None]).view(np.uint32) < (high - low).astype(np.uint32)[:, None]
-            q, c = np.nonzero(shared >= THRESHOLD)
-            other = todo[q] != c
-            q, c = q[other], c[other]
-            cosine = np.einsum("ij,ij->i", x[todo[q]], x[c])
-            near = cosine >= LIMIT
-            q, c, cosine = q[near], c[near], cosine[near]
-            within = np.bincount(q[cosine >= 1 - radius * radius / 2 - 1e-6], minlength=len(todo))
-            done = (within >= NEIGHBOURS) | (radius == RADII[-1])
+                low[j] = np.searchsorted(arrays[:, j], projected[todo, j] - half, "left")
+                high[j] = np.searchsorted(arrays[:, j], projected[todo, j] + half, "right")
+            if (high - low).mean() > CROWDED * n:
+                q, c, cosine = _all_near(x, todo, members)
+                done = np.ones(len(todo), bool)
+            else:
+                shared = np.zeros((len(todo), n), np.uint8)
+                for j in range(COUNTED):
+                    shared += (rank[j] - low[j][:, None]).view(np.uint32) < (high[j] - low[j]).astype(np.uint32)[:, None]
+                q, c = np.nonzero(shared >= THRESHOLD)
+                c = members[c]
+                other = todo[q] != c
+                q, c = q[other], c[other]
+                cosine = _cosines(x, todo[q], c)
+                near = cosine >= LIMIT
+                q, c, cosine = q[near], c[near], cosine[near]
+                within = np.bincount(q[cosine >= 1 - radius * radius / 2 - 1e-6], minlength=len(todo))
+                done = (within >= NEIGHBOURS) | (radius == RADII[-1])
             keep = done[q]
             q, c, cosine = q[keep], c[keep], cosine[keep]
             order = np.lexsort((keys[c], -cosine, q))
             q, c, cosine = q[order], c[order], cosine[order]
             place = np.arange(len(q)) - np.searchsorted(q, q, "left")
             best = place < NEIGHBOURS
-            out.append((todo[q[best]], c[best], cosine[best]))
+            yield todo[q[best]], c[best], cosine[best]
             todo = todo[~done]
             if not len(todo):
                 break
+
+
+def nearest(keys: np.ndarray, x: np.ndarray, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, neighbour, cosine) of one cell: of each member its NEIGHBOURS nearest with LIMIT at least.
+
+    With `block`, which holds two values, the nearest of the other block.
+    """
+    projected = x @ counted_directions()
+    if block is None:
+        each = [(np.arange(len(x)), np.arange(len(x)))]
+    else:
+        first = block == block.min()
+        each = [(np.flatnonzero(first), np.flatnonzero(~first)), (np.flatnonzero(~first), np.flatnonzero(first))]
+    out = [found for queries, members in each for found in _among(keys, x, projected, queries, members)]
     if not out:
         return keys[:0], keys[:0], np.zeros(0, np.float32)
     q, c, cosine = (np.concatenate(x) for x in zip(*out))
@@ -118,57 +156,42 @@ def _cell_sizes(n_cells: int):
     return run
 
 
-def _hot_sums(n_cells: int, hot: list[int]):
-    """Sums of the vectors of each cell that is to be parted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, sums, wanted = directions(n_cells), np.zeros((len(hot), DIMENSIONS)), np.array(hot)
-        for batch in batches:
-            x = _unit(batch)[1]
-            far = _far_ends(x, d)
-            row, cell = np.repeat(np.arange(len(x)), far.shape[1]), far.ravel()
-            inside = np.isin(cell, wanted)
-            np.add.at(sums, np.searchsorted(wanted, cell[inside]), x[row[inside]])
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(hot, pa.int32()), "total": pa.array(sums.tolist(), pa.list_(pa.float64()))})
+def _parts(keys: np.ndarray, row: np.ndarray, cell: np.ndarray, hot: dict[int, int]) -> Iterator[tuple]:
+    """(rows, cells, parts, blocks); in a hot cell each row once for every pair of blocks that its own belongs to."""
+    warm = np.isin(cell, np.array(sorted(hot), np.int64))
+    none = np.zeros(len(row) - warm.sum(), np.int64)
+    yield row[~warm], cell[~warm], none, none
+    for c in np.unique(cell[warm]).tolist():
+        n, own = hot[c], row[cell == c]
+        block = (keys[own].view(np.uint64) % np.uint64(n)).astype(np.int64)
+        for other in range(n):
+            yield own, np.full(len(own), c), 1 + np.minimum(block, other) * n + np.maximum(block, other), block
 
-    return run
 
+def _assign(n_cells: int, hot: dict[int, int]):
+    """Rows (cell, part, block, key, vector): each vector once for each far end.
 
-def _assign(n_cells: int, hot: dict[int, tuple[int, np.ndarray]]):
-    """Rows (cell, part, key, vector): each vector once for each far end; part is 0 but in parted cells."""
+    Part and block are 0 but in hot cells, which have the given number of blocks: there a part is a pair of blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = directions(n_cells)
-        inner = directions(max((max(FAR, n * FAR // CELL) for n, _ in hot.values()), default=FAR), 1)
         for batch in batches:
             keys, x = _unit(batch)
             far = _far_ends(x, d)
-            row, cell = np.repeat(np.arange(len(x)), far.shape[1]), far.ravel()
-            part = np.zeros(len(row), np.int64)
-            if hot:
-                order = np.argsort(cell, kind="stable")
-                row, cell = row[order], cell[order]
-                begins = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-                rows, cells, parts = [], [], []
-                for begin, end in zip(begins, np.r_[begins[1:], len(cell)]):
-                    own, c = row[begin:end], int(cell[begin])
-                    if c not in hot:
-                        rows.append(own), cells.append(cell[begin:end]), parts.append(part[begin:end])
-                        continue
-                    n, mean = hot[c]
-                    ends = _far_ends(x[own] - mean, inner[:, : max(FAR, n * FAR // CELL)])
-                    rows.append(np.repeat(own, ends.shape[1])), cells.append(np.full(ends.size, c)), parts.append(ends.ravel() + 1)
-                row, cell, part = np.concatenate(rows), np.concatenate(cells), np.concatenate(parts)
-            for i in range(0, len(row), 4 * ROWS):
-                r = row[i : i + 4 * ROWS]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "cell": pa.array(cell[i : i + 4 * ROWS].astype(np.int32)),
-                        "part": pa.array(part[i : i + 4 * ROWS].astype(np.int32)),
-                        "key": pa.array(keys[r]),
-                        "vector": pa.FixedSizeListArray.from_arrays(pa.array(x[r].ravel()), DIMENSIONS).cast(pa.list_(pa.float32())),
-                    }
-                )
+            every = np.repeat(np.arange(len(x)), far.shape[1])
+            for row, cell, part, block in _parts(keys, every, far.ravel(), hot):
+                for i in range(0, len(row), 4 * ROWS):
+                    r = row[i : i + 4 * ROWS]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "cell": pa.array(cell[i : i + 4 * ROWS].astype(np.int32)),
+                            "part": pa.array(part[i : i + 4 * ROWS]),
+                            "block": pa.array(block[i : i + 4 * ROWS].astype(np.int32)),
+                            "key": pa.array(keys[r]),
+                            "vector": pa.FixedSizeListArray.from_arrays(pa.array(x[r].ravel()), DIMENSIONS).cast(pa.list_(pa.float32())),
+                        }
+                    )
 
     return run
 
@@ -176,7 +199,8 @@ def _assign(n_cells: int, hot: dict[int, tuple[int, np.ndarray]]):
 def _search(cell: pa.Table) -> pa.Table:
     keys, first = np.unique(cell.column("key").to_numpy(), return_index=True)
     x = cell.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, DIMENSIONS)[first]
-    a, b, cosine = nearest(keys, x)
+    block = cell.column("block").to_numpy()[first]
+    a, b, cosine = nearest(keys, x, block if (block != block[0]).any() else None)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cosine": pa.array(cosine, pa.float32())})
 
 
@@ -191,14 +215,8 @@ def nearest_classes(records: DataFrame, key: str = "id", vector: str = "embeddin
     vectors = _usable(records, key, vector).select(F.xxhash64(vector).alias("key"), F.col(vector).alias("vector"))
     n_cells = min(CELLS, max(2 * FAR, vectors.count() * FAR // CELL))
     sizes = vectors.mapInArrow(_cell_sizes(n_cells), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    hot = {r.cell: r.n for r in sizes.filter(F.col("n") > HOT).collect()}  # at most CELLS rows
-    means = {}
-    if hot:
-        sums = vectors.mapInArrow(_hot_sums(n_cells, sorted(hot)), "cell int, total array<double>")
-        each = sums.select("cell", F.posexplode("total")).groupBy("cell", "pos").agg(F.sum("col").alias("x"))
-        for r in each.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).collect():
-            means[r.cell] = (hot[r.cell], np.array([x for _, x in r.v], np.float32) / hot[r.cell])
-    cells = vectors.mapInArrow(_assign(n_cells, means), "cell int, part int, key long, vector array<float>")
+    hot = {r.cell: -(-r.n // HOT) for r in sizes.filter(F.col("n") > HOT).collect()}  # at most CELLS rows
+    cells = vectors.mapInArrow(_assign(n_cells, hot), "cell int, part long, block int, key long, vector array<float>")
     found = cells.groupBy("cell", "part").applyInArrow(_search, "a long, b long, cosine float")
     once = found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))

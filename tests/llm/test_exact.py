@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +164,21 @@ def test_hot_cells_are_parted(spark, monkeypatch):
     np.fill_diagonal(s, -1)
     want = {(f"v{i:04d}", f"v{j:04d}") for i in range(len(x)) for j in np.argsort(-s[i])[:5]}
     assert len(got & want) >= 0.9 * len(want)
+
+
+def test_a_dense_cell_loses_no_neighbours(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(neighbours, "HOT", 1000)
+    rng = np.random.default_rng(6)
+    noise = rng.standard_normal((18_000, 64))
+    x = noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    centre = x[-1]
+    side = x[:6000] - np.outer(x[:6000] @ centre, centre)
+    x[:6000] = 0.9 * centre + np.sqrt(1 - 0.81) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    x = x.astype(np.float32)
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"id": [f"v{i:05d}" for i in range(len(x))], "embedding": vectors}), tmp_path / "x.parquet")
+    got = {(r.id, r.neighbour) for r in neighbours.nearest_neighbours(spark.read.parquet(str(tmp_path / "x.parquet"))).collect()}
+    s = x[:600] @ x.T
+    s[np.arange(600), np.arange(600)] = -1
+    want = {(f"v{i:05d}", f"v{j:05d}") for i in range(600) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.85}
+    assert len(got & want) >= 0.98 * len(want) > 2000
