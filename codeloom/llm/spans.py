@@ -28,7 +28,7 @@ LEVELS = (44, 88, 176)
 #: Characters to the left of the anchor in the windows of the second level: any span has 44 more on one side.
 LEFT_1 = (0, 44)
 #: The same at the third level. Of the 156 characters that a span has besides the anchor, a window takes 132; each
-#: way to share them out lies within STEP of one of these.
+#: way to share them out lies at most STEP beyond one of these.
 LEFT_2 = (0, 24, 48, 72, 96, 120, 132)
 STEP = 24
 #: Characters hashed at a time.
@@ -223,7 +223,7 @@ def _surviving(records: DataFrame, key: str, text: str) -> DataFrame:
     again = variants(level_1.drop("h", "k").distinct(), "y", len(LEFT_2))
     level_2 = again.join(_repeated(again.select("text_key", "h")), "h", "left_semi")
     left = F.element_at(F.array(*map(F.lit, LEFT_2)), F.col("k") + 1)
-    starts = level_2.select("text_key", F.explode(F.sequence(F.col("at") - left - (STEP - 1), F.col("at") - left)).alias("at"))
+    starts = level_2.select("text_key", F.explode(F.sequence(F.col("at") - left - STEP, F.col("at") - left)).alias("at"))
     places = starts.filter("at >= 0").groupBy("text_key").agg(F.collect_set("at").alias("places"))
     once = texts.mapInArrow(_once, "text_key long, text string")
     return durable(once.join(places, "text_key").dropDuplicates(["text_key"]).select("text_key", "text", "places"))

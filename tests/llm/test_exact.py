@@ -121,6 +121,21 @@ def test_shared_spans_against_all_windows(spark):
     assert spans.shared_pairs(spark.createDataFrame([], "id string, code string")).isEmpty()
 
 
+def test_anchors_at_every_place_of_a_span(spark):
+    rng = random.Random(12)
+    alone: dict[int, str] = {}
+    while len(alone) < 157:
+        texts = [random_text(rng, 200, "abcdefgh") for _ in range(400)]
+        h = spans.Hasher(texts)
+        at = h.anchors()
+        alone |= {int(a): texts[o] for a, o in zip(at - h.begins[h.owner(at)], h.owner(at))}
+    rows = [(f"s{o:03d}", t) for o, t in alone.items()]
+    rows += [(f"w{o:03d}", random_text(rng, rng.randint(1, 90), "klmno") + t + random_text(rng, rng.randint(1, 90), "pqrst")) for o, t in alone.items()]
+    df = spark.createDataFrame(rows, "id string, code string")
+    assert {(r.id_a, r.id_b) for r in spans.shared_pairs(df).collect()} == {(f"s{o:03d}", f"w{o:03d}") for o in range(157)}
+    assert {r.shared_chars for r in spans.shared_parts(df).collect()} == {200}
+
+
 # --- problem 1
 
 
