@@ -98,7 +98,8 @@ class Shapes:
 def _short(tokens: tuple[str, ...]) -> tuple[str, ...]:
     """A long list has the form of the list without items that repeat earlier ones; its first and last items stay.
 
-    Items are what commas part. Where angle brackets may hold commas, only an item equal to the two before it is left out.
+    Items are what commas part; those that hold a part of a lambda's parameters are no whole elements and stay. Where angle
+    brackets may hold commas, only an item equal to the two before it is left out.
     """
     if len(tokens) < 40 or "," not in tokens:
         return tokens
@@ -110,8 +111,18 @@ def _short(tokens: tuple[str, ...]) -> tuple[str, ...]:
     angles = "<" in tokens or ">" in tokens
     out: list[str] = []
     seen: dict[tuple[str, ...], int] = {}
+    lambdas = "lambda" in tokens
+    waiting = 0  # lambdas without their colon
     for i, item in enumerate(items):
         inner = 2 < i < len(items) - 2
+        if lambdas:
+            inner = inner and not waiting
+            for t in item:
+                if t == "lambda":
+                    waiting += 1
+                elif t == ":" and waiting:
+                    waiting -= 1
+            inner = inner and not waiting
         key = tuple(item)
         seen[key] = seen.get(key, 0) + 1
         if inner and (item == items[i - 1] == items[i - 2] if angles else seen[key] > 3):

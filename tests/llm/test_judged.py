@@ -102,6 +102,16 @@ def test_valid_sources(suffix):
         assert syntax.why_invalid("\ufeff" + text.replace("\n", "\r\n"), suffix) is None
 
 
+def test_long_lists_of_lambdas():
+    items = [f"lambda a, b: a {sign} b" for sign in "+ - * / % @ & | ^".split()]
+    for n in (4, 5, 9):
+        inner = ", ".join(items[:n])
+        for text in (f"x = [{inner}]\n", f"x = ({inner})\n", f"f({inner})\n", f"x = {inner}\n", f"x = [{inner}, lambda a=lambda: 1, *b: a]\n"):
+            assert syntax.why_invalid(text, ".py") is None, text
+        assert syntax.why_invalid(f"x = [{inner}, lambda a, b, c]\n", ".py")
+    assert syntax.why_invalid("x = {" + ", ".join(f"{i}: lambda a, b: a" for i in range(40)) + "}\n", ".py") is None
+
+
 @pytest.mark.parametrize("suffix", BAD)
 def test_invalid_sources(suffix):
     for text in BAD[suffix]:
