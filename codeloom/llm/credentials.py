@@ -34,23 +34,30 @@ PLACEHOLDER = re.compile(
     r"|(?:your|my|replace|change|insert|enter|put|add|set)[-_ ]?(?:me|this|here|your|my|the|an?|in|with)?(?:[-_ ]?(?:api|key|token|password|passwd|secret|value|here|access|auth|client|id))*"
     r"|(?:dummy|example|sample|placeholder|redacted|hidden|masked|todo|fixme|tbd|none|null|nil|undefined|empty|changeme|default|test|testing|foobar|foo|bar|secret|password|token|key)(?:[-_ ]?(?:key|token|password|secret|value))?)$"
 )
-#: Forms of issued tokens.
-ISSUED = re.compile(
-    r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abeprs]-[\w-]{10,}|[srp]k_(?:live|test)_\w{10,}|AKIA[0-9A-Z]{16}"
-    r"|AIza[\w-]{30,}|SG\.[\w-]{16,}\.[\w-]{16,}|npm_\w{20,}|hf_\w{20,}|pypi-\w{20,}|dop_v1_\w{20,}|shpat_\w{20,}|ya29\.[\w-]{20,}|sk-[\w-]{20,}"
-    r"|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})"
-)
+#: Forms of issued tokens, how they begin and go on.
+ISSUED_FORMS = {
+    "gh[pousr]_": "[A-Za-z0-9]{20,}", "github_pat_": r"\w{20,}", "glpat-": r"[\w-]{16,}", "xox[abeprs]-": r"[\w-]{10,}", "[srp]k_(?:live|test)_": r"\w{10,}",
+    "AKIA": "[0-9A-Z]{16}", "AIza": r"[\w-]{30,}", r"SG\.": r"[\w-]{16,}\.[\w-]{16,}", "npm_": r"\w{20,}", "hf_": r"\w{20,}", "pypi-": r"\w{20,}",
+    "dop_v1_": r"\w{20,}", "shpat_": r"\w{20,}", r"ya29\.": r"[\w-]{20,}", "sk-": r"[\w-]{20,}", "eyJ": r"[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}",
+}
+ISSUED = re.compile(r"\b(?:" + "|".join(begin + rest for begin, rest in ISSUED_FORMS.items()) + ")")
+#: Words of headers, of parameters of URLs, and of notes about logins.
+HEADERS = ("basic", "bearer", "token", "apikey")
+PARAMS, SHORT_PARAMS = ("token", "secret", "password", "passwd", "signature", "apikey", "api_key", "access_key", "auth"), ("sig", "key", "pwd")
+LOGINS = ("log-?in", "sign-?in", "credentials?", "creds?", "account", "access")
+#: Ends of names that tell, however the name is parted.
+ENDS = ("password", "apikey", "secretkey")
 _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?=\s*$|\\n|\\r|[\"'`])")
 _KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
 _URL_LOGIN = re.compile(r"\b[a-zA-Z][\w+.\-]*://[^\s/:@\"'`]*:([^\s/@\"'`]+)@")
-_URL_PARAM = re.compile(r"(?i)[?&;](?:\w*(?:token|secret|password|passwd|signature|apikey|api_key|access_key|auth)|sig|key|pwd)=([^\s&;\"'`#]+)")
+_URL_PARAM = re.compile(rf"(?i)[?&;](?:\w*(?:{'|'.join(PARAMS)})|{'|'.join(SHORT_PARAMS)})=([^\s&;\"'`#]+)")
 _CONNECTION = re.compile(r"(?i)(?:^|[;\"'\s])(?:password|pwd)\s*=\s*([^;\"'`\s]+)(?=;|$|\s)")
-_HEADER = re.compile(r"(?i)^(?:basic|bearer|token|apikey)\s+(\S+)$")
+_HEADER = re.compile(rf"(?i)^(?:{'|'.join(HEADERS)})\s+(\S+)$")
 _FLAG = re.compile(r"(?i)--?(?:[\w-]*(?:password|passwd|pwd|pass|secret|token|api-?key|auth-?key|access-?key))[= ]([^\s\"'`]+)")
 _LITERAL = re.compile(r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|`((?:[^`\\]|\\.)*)`")
 _NOTE = re.compile(r"(?i)\b((?:[a-z]+[_-])*(?:password|passwd|passphrase|pwd|pass|pw|secret|token|apikey|api[_ -]?key|access[_ -]?key|key|credentials?))\s*(?:[:=]|\bis\b)\s*([^\s\"'`,;<>(){}]+)")
-_LOGIN_NOTE = re.compile(r"(?i)\b(?:log-?in|sign-?in|credentials?|creds?|account|access)\b[^:\"'`]*:\s*[^\s/]+\s*/\s*(\S+)")
+_LOGIN_NOTE = re.compile(rf"(?i)\b(?:{'|'.join(LOGINS)})\b[^:\"'`]*:\s*[^\s/]+\s*/\s*(\S+)")
 _COMMENT = re.compile(r"(?:^\s*(?:\*|\"\"\"|''')|//|/\*|(?:^|\s)#)(.*)$")
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+\d*|[A-Z]+(?![a-z])\d*|\d+")
 _CODE_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -59,7 +66,39 @@ _HASHES = re.compile(r"(?i)^(?:(?:md5|sha\d+)[:-])?(?:[0-9a-f]{32}|[0-9a-f]{40}|
 _PREFIXES = re.compile(r"(?i)^(?:data:|ssh-(?:rsa|ed25519|dss)\b|ecdsa-|-----)")
 #: A call that fetches what its argument names.
 _LOOKUP = re.compile(r"(?i)\b(?:read|get|fetch|load|look_?up|resolve|require)_?\w*\(\s*$|\benv\w*[.\[]?\w*[(\[]\s*$")
-_LOOKS = re.compile(r"(?i)pass|secret|token|key|pwd|\bpw|auth|cred|://|begin|log-?in|account|access|basic|[?&]sig=|eyj|gh[pousr]_|glpat|xox|k_live|k_test|akia|aiza|npm_|hf_|sk-|ya29|pin\b|psk")
+
+
+def _least(words: set[str]) -> list[bytes]:
+    """Letters that a line must hold, one of these at least, to hold one of the words; without those that hold another."""
+    bare = {w.replace("-?", "").replace("s?", "").replace("_", "") for w in words}
+    return [w.encode() for w in sorted(bare) if not any(v != w and v in w for v in bare)]
+
+
+_SHORT_WORDS = sorted(w for w in SECRET if len(w) <= 3)
+_LEAST = _least({w for w in SECRET if len(w) > 3} | {"key", "pwd", "begin", *ENDS, *HEADERS, *PARAMS, *LOGINS})
+_LEAST_SHORT = _least(set(_SHORT_WORDS))
+#: A short word as a word of a name, or as the name itself, which may be parted.
+_SHORT = re.compile(
+    "|".join(
+        rf"(?<![A-Za-z]){w}(?![a-z])|{w.title()}(?![a-z])|(?<![A-Z]){w.upper()}(?![a-z])|(?i:(?<![A-Za-z]){'[^A-Za-z0-9]*'.join(w)}(?![A-Za-z0-9]))"
+        for w in _SHORT_WORDS
+    )
+)
+_BEGINS = re.compile("|".join(ISSUED_FORMS))
+_SHORT_PARAM = re.compile(rf"(?i)[?&;](?:{'|'.join(SHORT_PARAMS)})=")
+_OTHERS = bytes(set(range(128)) - set(b"abcdefghijklmnopqrstuvwxyz0123456789"))
+#: Letters beyond ASCII that a pattern without regard to case takes for one of ASCII.
+_ALIKE = str.maketrans("\u017f\u212a\u0130\u0131", "skii")
+
+
+def may_hold(line: str) -> bool:
+    """Whether any rule can find something in a line; made of the rules' own words. Names may be parted within a word."""
+    if not line.isascii():
+        line = line.translate(_ALIKE)
+    letters = line.lower().encode("ascii", "ignore").translate(None, _OTHERS)
+    if any(w in letters for w in _LEAST) or "://" in line or _BEGINS.search(line):
+        return True
+    return "=" in line and bool(_SHORT_PARAM.search(line)) or any(w in letters for w in _LEAST_SHORT) and bool(_SHORT.search(line))
 
 
 class Words:
@@ -159,7 +198,7 @@ class Finder:
 
     def in_line(self, line: str) -> list[tuple[int, int]]:
         """Begin and end of each credential's value in a line."""
-        if not _LOOKS.search(line):
+        if not may_hold(line):
             return []
         out: list[tuple[int, int]] = [m.span() for m in _KEY_BLOCK.finditer(line)]
         out += [m.span() for m in ISSUED.finditer(line) if self.words.unexplained(m.group()) >= RESIDUAL_FORM]
