@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -63,18 +64,18 @@ def first_parents(edges: DataFrame) -> DataFrame:
     return first.select("repository", "file_path", F.col("target_id").alias("child"), F.col("x.source_id").alias("parent"))
 
 
-def hierarchy(nodes: DataFrame, parents: DataFrame, depth: int = 12) -> DataFrame:
+def hierarchy(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     """(id, path, depth): names from the outermost parent to each node, joined by points.
 
     `nodes` has (id, name), `parents` (child, parent). A node without parent, or with one that is not in `nodes`, begins a path. Nodes on
-    a cycle, or deeper than `depth`, give no row.
+    a cycle or below one give no row.
     """
     named = nodes.select("id", "name").dropDuplicates(["id"])
     inner = parents.select(F.col("child").alias("id"), "parent").join(named.select(F.col("id").alias("parent")), "parent", "left_semi").dropDuplicates(["id"])
     level = durable(named.join(inner, "id", "left_anti").select("id", F.col("name").alias("path"), F.lit(0).alias("depth")))
     out = level
     below = named.join(inner, "id")
-    for n in range(1, depth):
+    for n in count(1):
         up = level.select(F.col("id").alias("parent"), F.col("path").alias("above"))
         level = durable(below.join(up, "parent").select("id", F.concat_ws(".", "above", "name").alias("path"), F.lit(n).alias("depth")))
         if level.isEmpty():

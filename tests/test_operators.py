@@ -99,3 +99,11 @@ def test_embedding_text_batches_and_failures(spark):
     assert all(r.embedding is None for r in embed.embed(df, "short", 4).collect())
     with pytest.raises(ValueError):
         embed.provider("nobody", 4)
+
+
+def test_hierarchy_has_no_deepest_level(spark):
+    names = [f"n{i:02d}" for i in range(15)]
+    nodes = spark.createDataFrame([(n, n) for n in names], "id string, name string")
+    parents = spark.createDataFrame(list(zip(names[1:], names)), "child string, parent string")
+    got = {r.id: (r.path, r.depth) for r in graph.hierarchy(nodes, parents).collect()}
+    assert got == {n: (".".join(names[: i + 1]), i) for i, n in enumerate(names)}
