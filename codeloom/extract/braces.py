@@ -35,6 +35,7 @@ class Source:
         self.clean = _BLANK[language].sub(lambda m: re.sub(r"[^\n]", "_" if m.group()[0] in "\"'`$@" else " ", m.group()), text)
         self.starts = [0] + [m.end() for m in re.finditer("\n", text)]
         self.match: dict[int, int] = {}
+        self.opened: dict[int, int] = {}
         stack: list[int] = []
         self.balanced = True
         for m in _SIGN.finditer(self.clean):
@@ -43,6 +44,7 @@ class Source:
                 stack.append(m.start())
             elif c != ";":
                 if stack and self.clean[stack[-1]] == _OPEN[c]:
+                    self.opened[m.start()] = stack[-1]
                     self.match[stack.pop()] = m.start()
                 else:
                     self.balanced = False

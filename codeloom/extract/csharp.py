@@ -13,7 +13,7 @@ MODIFIERS = "public|private|protected|internal|static|abstract|sealed|virtual|ov
 
 _ATTRIBUTES = re.compile(r"\[([^\[\]]*(?:\[[^\]]*\][^\[\]]*)*)\]\s*")
 _TYPE = re.compile(r"^(class|interface|enum|struct|record)\s+(\w+)\s*(?:<[^{:]*?>)?\s*(?:\([^)]*\))?\s*(?::\s*(.*?))?\s*(?:where\s.*)?$", re.S)
-_METHOD = re.compile(r"^(?:(\([^()]*\)\??|[^()=]+?)\s+)?([\w.]+)\s*(?:<[^()]*>)?\s*\(", re.S)
+_NAMED = re.compile(r"^(?:(.+?)\s+|(.*[\])>?])\s*)?([\w.]+)\s*(?:<[^()]*>)?\s*$", re.S)
 
 
 def _plain(text: str) -> str:
@@ -40,12 +40,35 @@ class _Reader:
         while True:
             if m := _ATTRIBUTES.match(self.s.clean, at, piece.head_end):
                 names += [re.split(r"[(\s]", x.split(":")[-1].strip())[0].split(".")[-1].removesuffix("Attribute") for x in split_top(m.group(1))]
-            elif m := re.compile(rf"(?:{MODIFIERS})\b(?!\s*\()\s*").match(self.s.clean, at, piece.head_end):
+            elif (m := re.compile(rf"(?:{MODIFIERS})\b\s*").match(self.s.clean, at, piece.head_end)) and self.followed(m.end(), piece.head_end):
                 modifiers.append(m.group().strip())
             else:
                 return names, modifiers, self.s.clean[at : piece.head_end].strip(), at
             at = m.end()
 
+    def followed(self, at: int, end: int) -> bool:
+        """Whether a word before this place is a modifier: a bracket after it holds a tuple type, not parameters."""
+        clean = self.s.clean
+        return at >= end or clean[at] != "(" or bool(re.compile(r"\s*[\w?\[]").match(clean, self.s.match.get(at, end) + 1, end))
+
+    def parameters_at(self, at: int, end: int) -> int:
+        """The bracket of a head that opens its parameters: at its own level, right after a name; -1: there is none."""
+        clean, depth = self.s.clean, 0
+        while at < end:
+            c = clean[at]
+            if c == "(" and not depth and re.search(r"[\w>]\s*$", clean[max(0, at - 80) : at]) and self.name_before(at):
+                return at
+            if c in "([":
+                at = self.s.match.get(at, end)
+            elif c == "=" and not depth:
+                return -1
+            depth += (c == "<") - (c == ">" and clean[at - 1] != "=")
+            at += 1
+        return -1
+
+    def name_before(self, at: int) -> bool:
+        return not re.search(rf"(?:^|\s)(?:{MODIFIERS})\s*$", self.s.clean[max(0, at - 80) : at])
+
     def scope(self, begin: int, end: int, space: str, outer: str | None, packages: list[str], top: bool) -> None:
         found, s = self.found, self.s
         for piece in s.pieces(begin, end):
@@ -95,11 +118,10 @@ class _Reader:
         last = s.line(piece.body_end if piece.body >= 0 else piece.head_end)
         base = f"{found.repository}::{full}"
         common = {"modifiers": modifiers, "docstring": self.doc(piece.begin)}
-        opens = s.clean.find("(", at, piece.head_end)
-        arrow = s.clean.find("=", at, piece.head_end)
-        m = _METHOD.match(head)
-        if m and opens >= 0 and not (0 <= arrow < opens):
-            result, name = (m.group(1) or "").strip(), m.group(2).split(".")[-1]
+        opens = self.parameters_at(at, piece.head_end)
+        m = _NAMED.match(s.clean[at:opens]) if opens >= 0 else None
+        if m:
+            result, name = (m.group(1) or m.group(2) or "").strip(), m.group(3).split(".")[-1]
             if name in ("if", "for", "while", "return") or "operator" in result:
                 return
             listed = []
@@ -120,7 +142,7 @@ class _Reader:
         p = re.match(r"(.+?)\s+(\w+)$", left, re.S)
         if not p or re.match(r"(?:using|event|delegate|return)\b", head):
             return
-        is_property = bool(accessors) or piece.body >= 0 and "=" not in head or "=>" in head
+        is_property = bool(accessors) or piece.body >= 0 and "=" not in head or head[head.find("=") :][:2] == "=>"
         if is_property:
             common["modifiers"] = [*modifiers, "property"]
         for name in [p.group(2)] if is_property else [re.match(r"\w+", x).group() for x in split_top(head[len(p.group(1)) :]) if re.match(r"\w+", x)]:

@@ -15,11 +15,22 @@ MODIFIERS = "public|protected|private|static|final|abstract|native|synchronized|
 
 _ANNOTATION = re.compile(r"@([\w.]+)(?:\s*\((?:[^()]|\([^()]*\))*\))?\s*")
 _TYPE = re.compile(r"\b(class|interface|enum)\s+(\w+)\s*(<.*?>(?=\s*(?:extends|implements|permits|$)))?\s*(?:extends\s+(.*?))?\s*(?:implements\s+(.*?))?\s*(?:permits\s+.*)?$", re.S)
-_METHOD = re.compile(r"^(?:<[^(]*?>\s*)?(?:([\w.<>\[\],?&\s]+?)\s+)?(\w+)\s*\(", re.S)
-_CALL = re.compile(r"(?:\b([\w.]+|\)|\])\s*\.\s*)?\b(\w+)\s*\(")
+_METHOD = re.compile(r"^(?:([\w.<>\[\],?&\s]+?)\s+)?(\w+)\s*\(", re.S)
+_RECORD = re.compile(r"record\s+\w+\s*[<(]")
+_CALL = re.compile(r"\b(\w+)\s*\(")
 _NO_CALL = frozenset("if for while switch catch return synchronized super this new assert throw try else do".split())
 
 
+def _after_type_parameters(head: str) -> str:
+    """A head without the type parameters that it begins with, which may be bounded by types with arguments."""
+    depth = 0
+    for i, c in enumerate(head if head.startswith("<") else ""):
+        depth += (c == "<") - (c == ">")
+        if not depth:
+            return head[i + 1 :].lstrip()
+    return head
+
+
 def _plain(type_text: str) -> str:
     return re.sub(r"\s*([<>,\[\]])\s*", r"\1", " ".join(type_text.split()))
 
@@ -96,7 +107,11 @@ class _Reader:
         methods: list[tuple[str, str, int, Piece]] = []
         for piece in pieces:
             names, modifiers, head, at = self.split(piece)
-            m = _METHOD.match(head)
+            if piece.body >= 0 and _RECORD.match(head):
+                continue
+            bare_head = _after_type_parameters(head)
+            at += len(head) - len(bare_head)
+            m = _METHOD.match(bare_head)
             opens = s.clean.find("(", at, piece.head_end)
             if m and opens >= 0 and "=" not in s.clean[at:opens] and m.group(2) not in _NO_CALL:
                 parameters = self.parameters(opens)
@@ -124,9 +139,33 @@ class _Reader:
                     if field:
                         fid = found.node("Field", f"{found.repository}::{full}.{field.group()}", field.group(), s.line(piece.begin), s.line(piece.head_end), modifiers=modifiers, docstring=s.doc_before(piece.begin), properties={"field_type": _plain(f.group(1))})
                         found.edge(node_id, fid, "HAS_FIELD")
-        self.calls(name, methods)
+        self.calls(name, full, methods)
 
-    def calls(self, owner: str, methods: list[tuple[str, str, int, Piece]]) -> None:
+    def called_on(self, begin: int, at: int) -> str | None:
+        """The text of what a call whose name begins at a place is made on: names, calls, indexes and literals joined by dots."""
+        s, end, first = self.s, None, True
+        while True:
+            while at > begin and s.clean[at - 1].isspace():
+                at -= 1
+            if first or at > begin and s.clean[at - 1] == ".":
+                if s.clean[at - 1] != ".":
+                    return None
+                at -= 1
+                end = at if end is None else end
+                while at > begin and s.clean[at - 1].isspace():
+                    at -= 1
+            else:
+                break
+            first = False
+            while at > begin and s.clean[at - 1] in ")]":
+                at = s.opened.get(at - 1, begin)
+            while at > begin and (s.clean[at - 1].isalnum() or s.clean[at - 1] in "_$"):
+                at -= 1
+        if new := re.search(r"\bnew\s*$", s.clean[begin:at]):
+            at = begin + new.start()
+        return s.text[at:end].strip()
+
+    def calls(self, owner: str, full: str, methods: list[tuple[str, str, int, Piece]]) -> None:
         """Calls of each method: of this class's methods by name and number of arguments, else of references."""
         found, s = self.found, self.s
         for _, member, _, piece in methods:
@@ -134,16 +173,18 @@ class _Reader:
                 continue
             seen: set[str] = set()
             for m in _CALL.finditer(s.clean, piece.body, piece.body_end):
-                of, called = m.group(1), m.group(2)
-                if called in _NO_CALL or re.search(r"\bnew\s+[\w.<>]*$", s.clean[max(piece.body, m.start() - 60) : m.start(2)]):
+                called = m.group(1)
+                if called in _NO_CALL or re.search(r"\bnew\s+[\w.<>]*$", s.clean[max(piece.body, m.start() - 60) : m.start(1)]):
                     continue
-                text = f"{of}.{called}" if of else called
+                of = self.called_on(piece.body, m.start(1))
+                own = of in (None, "this", owner, full)
+                text = f"{full if own else of}.{called}"
                 opens = m.end() - 1
                 n = len(split_top(s.clean[opens + 1 : s.match.get(opens, opens)]))
-                if text in seen or of in (")", "]"):
+                if text in seen:
                     continue
                 seen.add(text)
-                if of in (None, "this", owner):
+                if own:
                     exact = first_of([i for c, i, k, _ in methods if c == called and k == n])
                     named = first_of([i for c, i, _, _ in methods if c == called])
                     target = exact[0] if len(exact) == 1 else named[0] if len(named) == 1 else None
@@ -151,7 +192,7 @@ class _Reader:
                         found.edge(member, target, "CALLS")
                         continue
                 reference = f"{member}::ref:{text}"
-                line = s.line(m.start(2))
+                line = s.line(m.start(1))
                 found.node("Reference", reference, text, line, line, properties={"symbol": text})
                 found.edge(member, reference, "CALLS")
 

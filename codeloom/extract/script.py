@@ -10,9 +10,9 @@ from codeloom.extract.braces import Piece, Source
 #: Calls that declare tests.
 TESTS = ("describe", "it", "test", "beforeEach", "afterEach", "beforeAll", "afterAll")
 
-_HEAD = re.compile(r"^(export\s+)?(default\s+)?(?:declare\s+)?(?:abstract\s+)?(async\s+)?(class|interface|function\*?|namespace|module)\b\s*([\w.$]*)")
-_CONST = re.compile(r"^(export\s+)?(?:const|let|var)\s+([\w$]+)\s*(?::[^=]*)?=\s*(.*)$", re.S)
-_ARROW = re.compile(r"(?:[\w.$]+\s*(?:<[^()]*>)?\(\s*)*(async\s+)?(?:(\()|([\w$]+)\s*=>|function\b)")
+_HEAD = re.compile(r"^(export\s+)?(default\s+)?(?:declare\s+)?(?:abstract\s+)?(async\s+)?(class|interface|function\s*\*?|namespace|module)(?![\w$])\s*([\w.$]*)")
+_CONST = re.compile(r"^(export\s+)?(?:const|let|var)\s+([\w$]+)\s*(?::((?:=>|[^=])*?))?=(?!>)\s*(.*)$", re.S)
+_ARROW = re.compile(r"(?:[\w.$]+\s*(?:<[^()]*>)?\(\s*)*(async\s+)?(?:(\()|([\w$]+)\s*=>|function\b\s*\*?\s*[\w$]*\s*(?:<[^()]*>)?\s*(\())")
 _MEMBER = re.compile(r"(?:^|\n)\s*((?:(?:public|private|protected|static|async|get|set|readonly|override|abstract)\s+)*)\*?\s*(#?[\w$]+)\s*(?:<[^()]*>)?\s*\(")
 _CLAUSE = re.compile(r"\bexport\s*\{([^}]*)\}")
 _HOOK = re.compile(r"(?<![\w$.])(use[\w$]*)\s*(?:<[^()]*>)?\(")
@@ -92,7 +92,7 @@ class _Reader:
 
     def declared(self, piece: Piece, m: re.Match) -> None:
         found, s = self.found, self.s
-        kind, name = m.group(4).rstrip("*"), m.group(5) or "default"
+        kind, name = m.group(4).rstrip("* "), m.group(5) or "default"
         if kind in ("namespace", "module") and name.startswith("."):
             return  # a property of the module object
         if kind in ("namespace", "module"):
@@ -133,17 +133,20 @@ class _Reader:
     def constant(self, piece: Piece, m: re.Match) -> None:
         """A function kept in a constant, also within calls that wrap it."""
         s = self.s
-        value = piece.begin + m.start(3)
+        value = piece.begin + m.start(4)
         a = _ARROW.match(s.clean, value, piece.head_end)
         if not a:
             return
-        at = a.start(2) if a.group(2) else -1
+        at = a.start(2) if a.group(2) else a.start(4) if a.group(4) else -1
         after = s.clean[s.match.get(at, at) + 1 : piece.head_end] if at >= 0 else ""
-        if at >= 0 and not re.match(r"\s*(?::[^=]*)?=>", after):
+        arrow = re.match(r"\s*(?::((?:=>|[^=])*?))?=>", after, re.S)
+        if a.group(2) and not arrow:
             return
+        result = self.result(at, piece.head_end) if a.group(4) else " ".join(arrow.group(1).split()) or None if arrow and arrow.group(1) else None
+        result = result or (" ".join(m.group(3).split()) if m.group(3) else None)
         parameters = self.parameters(at) if at >= 0 else a.group(3) or ""
         begin = piece.begin + m.start(2)
-        node = self.add("Method", m.group(2), m.group(2), piece, begin=begin, signature=f"const {m.group(2)} = ({parameters}) =>", modifiers=["async"] if a.group(1) else [])
+        node = self.add("Method", m.group(2), m.group(2), piece, begin=begin, signature=f"const {m.group(2)} = ({parameters}) =>" + (f": {result}" if result else ""), return_type=result, modifiers=["async"] if a.group(1) else [])
         self.found.edge(self.found.file_id, node, "CONTAINS")
         self.uses(node, value, piece.body_end if piece.body >= 0 else piece.head_end)
 

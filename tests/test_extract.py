@@ -1,6 +1,6 @@
 """Extractors on small sources with their expected entities and edges."""
 
-from codeloom.extract import registry
+from codeloom.extract import csharp, java, registry, script
 from codeloom.extract.registry import extract_file
 
 
@@ -156,3 +156,34 @@ def test_distributed_run_with_odd_rows(spark):
     df = spark.createDataFrame(rows, "repository string, file_path string, content binary, content_hash string")
     got = {r.file_path: (len(r.nodes), len(r.errors)) for r in registry.extract(df).collect()}
     assert got == {"a.py": (1, 0), "b.py": (1, 0), "c.java": (3, 0), "e.py": (0, 1)}
+
+
+def test_tuple_types_of_csharp_methods():
+    text = """namespace N { class K {
+ public Task<(int a, string b)> F(int x, (int, int) y = default) { return null; }
+ public (int, string) H() { return (1, "a"); }
+ private (int a, string b) pair = (1, "x");
+ private readonly Func<int, int> f = (x) => x;
+ public K(int a) : base(a) { }
+} }"""
+    nodes = {x["name"]: x for x in csharp.extract("r", "a.cs", text).nodes if x["label"] not in ("Package", "Class")}
+    assert sorted((x["label"], n) for n, x in nodes.items()) == [("Constructor", "K"), ("Field", "f"), ("Field", "pair"), ("Method", "F"), ("Method", "H")]
+    assert nodes["F"]["return_type"] == "Task<(int a, string b)>" and nodes["H"]["return_type"] == "(int, string)"
+    assert nodes["F"]["signature"] == "Task<(int a, string b)> F(int x, (int, int) y)" and nodes["f"]["modifiers"] == ["private", "readonly"]
+
+
+def test_bounded_type_parameters_records_and_calls_of_java():
+    text = 'package p; class A { record P(int a) {} <T extends Comparable<T>> T f(T a) { a.b().c(); new Foo().bar(); h(); this.h(); "x".length(); return q(a); } void h() {} }'
+    found = java.extract("r", "A.java", text)
+    nodes = {x["id"]: x for x in found.nodes}
+    assert nodes["r::p.A.f(T)"]["signature"] == "T f(T a)" and not any(x["name"] == "P" for x in found.nodes)
+    symbols = sorted(x["name"] for x in found.nodes if x["label"] == "Reference")
+    assert symbols == ['"x".length', "a.b", "a.b().c", "new Foo().bar", "p.A.q"]
+    assert [e for e in found.edges if e[1] == "r::p.A.h()"] == [("r::p.A", "r::p.A.h()", "HAS_METHOD", None), ("r::p.A.f(T)", "r::p.A.h()", "CALLS", None)]
+
+
+def test_generators_and_function_values_of_scripts():
+    text = "export function* gen(a: number) { yield 1; }\nconst g = function (a, b) { return a; };\nconst h = async (x: string): Promise<string[]> => { return []; };\nconst k: Handler = (q) => { return q; };\n"
+    nodes = {x["name"]: x for x in script.extract("r", "a.ts", text).nodes}
+    assert sorted(nodes) == ["g", "gen", "h", "k"]
+    assert nodes["g"]["signature"] == "const g = (a, b) =>" and nodes["h"]["return_type"] == "Promise<string[]>" and nodes["k"]["return_type"] == "Handler"
