@@ -32,9 +32,9 @@ NEIGHBOURS = 5
 #: Least cosine of a neighbour.
 LIMIT = 0.85
 #: Members that a cell has on average.
-CELL = 1_600
+CELL = 2_000
 #: Far ends that a vector of a table of FAR_ROWS rows enters, and the power of the rows by which they grow.
-FAR, FAR_ROWS, FAR_POWER = 6, 18_000, 1 / 7
+FAR, FAR_ROWS, FAR_POWER = 7, 18_000, 1 / 7
 #: Members beyond which a cell is cut into blocks of about that size.
 HOT = 12_000
 #: Arrays of a cell in which a query counts, and windows out of these that a candidate must share.
@@ -42,7 +42,7 @@ COUNTED, THRESHOLD = 4, 3
 #: Distances of unit vectors that the widening windows stand for; the last one is that of LIMIT.
 RADII = (0.36, float(np.sqrt(2 - 2 * LIMIT)))
 #: Half a window's width: this many standard deviations of the projected difference of two vectors at the radius.
-SPREAD = 2.1
+SPREAD = 2.4
 #: Pairs of queries and members counted at a time, vectors projected at a time, and pairs verified at a time.
 COUNTS, ROWS, PAIRS = 250_000, 2048, 100_000
 #: Vectors travel as whole numbers of 16 bits, this many to one.
