@@ -20,14 +20,17 @@ from pyspark.sql import functions as F
 
 #: Size of the dictionary, and rows of code a word must occur in per million words of it (at least LEAST in all).
 VOCABULARY, LEAST, PER_MILLION = 50_000, 5, 2.0
-#: Characters that must stay unexplained in a value beside a telling name, and in one that tells by its form.
-RESIDUAL, RESIDUAL_FORM = 4, 8
+#: Characters that must stay unexplained in a value beside a telling name, in one that tells by its form, and in one that its
+#: place alone marks as a password (of a URL, a connection string or a note about a login).
+RESIDUAL, RESIDUAL_FORM, RESIDUAL_PLACE = 4, 8, 3
 
 #: Words of names that hold credentials, alone or after one of QUALIFIERS.
 SECRET = frozenset("password passwd pwd pass pw passphrase passcode secret secrets token credential credentials apikey auth authorization secretkey privatekey accesskey authkey psk pin".split())
 KEYED = frozenset("api access private encryption signing auth secret client webhook license licence master service account deploy admin shared hmac session maps storage write read app crypto cipher s3 aws".split())
 #: Words of names that hold something else, whatever stands beside them.
 PLAIN = frozenset("public checksum digest etag sha sha1 sha256 sha512 md5 md5sum hash integrity fingerprint commit revision uuid guid tenant request trace correlation icon image".split())
+#: Last words of names that name, describe or lead to a credential, and hold none.
+NAMING = frozenset("name names field fields label labels url uri link page route endpoint path file filename dir type kind length size count header prefix suffix column table param parameter hint placeholder title text message error help policy rule pattern regex format provider store manager service class version ttl expiry expires lifetime timeout".split())
 #: Placeholders.
 PLACEHOLDER = re.compile(
     r"(?i)^(?:[*x.\-_?#]+|<[^>]*>|\[[^\]]*\]|\$\{.*\}?|\$\(.*|\{\{.*|%\(?\w+\)?s?%?|\$[A-Z_]+"
@@ -55,6 +58,7 @@ _URL_PARAM = re.compile(rf"(?i)[?&;](?:\w*(?:{'|'.join(PARAMS)})|{'|'.join(SHORT
 _CONNECTION = re.compile(r"(?i)(?:^|[;\"'\s])(?:password|pwd)\s*=\s*([^;\"'`\s]+)(?=;|$|\s)")
 _HEADER = re.compile(rf"(?i)^(?:{'|'.join(HEADERS)})\s+(\S+)$")
 _FLAG = re.compile(r"(?i)--?(?:[\w-]*(?:password|passwd|pwd|pass|secret|token|api-?key|auth-?key|access-?key))[= ]([^\s\"'`]+)")
+_PIECE = re.compile(r"\s*([+.]?)\s*(?:[rRbBuU$@]{0,2})(?:\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|`((?:[^`\\]|\\.)*)`)")
 _LITERAL = re.compile(r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|`((?:[^`\\]|\\.)*)`")
 _NOTE = re.compile(r"(?i)\b((?:[a-z]+[_-])*(?:password|passwd|passphrase|pwd|pass|pw|secret|token|apikey|api[_ -]?key|access[_ -]?key|key|credentials?))\s*(?:[:=]|\bis\b)\s*([^\s\"'`,;<>(){}]+)")
 _LOGIN_NOTE = re.compile(rf"(?i)\b(?:{'|'.join(LOGINS)})\b[^:\"'`]*:\s*[^\s/]+\s*/\s*(\S+)")
@@ -62,6 +66,7 @@ _COMMENT = re.compile(r"(?:^\s*(?:\*|\"\"\"|''')|//|/\*|(?:^|\s)#)(.*)$")
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+\d*|[A-Z]+(?![a-z])\d*|\d+")
 _CODE_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _RUN = re.compile(r"[A-Za-z0-9]+")
+_SIGNS = re.compile(r"[!#$%^&*@?~]")
 _HASHES = re.compile(r"(?i)^(?:(?:md5|sha\d+)[:-])?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|sha\d+-[A-Za-z0-9+/]+=*)$")
 _PREFIXES = re.compile(r"(?i)^(?:data:|ssh-(?:rsa|ed25519|dss)\b|ecdsa-|-----)")
 #: A call that fetches what its argument names.
@@ -132,6 +137,10 @@ class Words:
     def unexplained(self, value: str) -> int:
         return sum(map(self.residual, _RUN.findall(value)))
 
+    def left(self, value: str) -> int:
+        """Characters of a value that no word explains: those of its runs, all digits, and the signs that passwords have."""
+        return sum(len(x) if x.isdigit() else self.residual(x) for x in _RUN.findall(value)) + len(_SIGNS.findall(value))
+
 
 def gather_words(records: DataFrame, text: str = "code") -> dict[str, int]:
     """The dictionary: words of all code that are neither rare nor short, at most VOCABULARY of the most frequent."""
@@ -160,7 +169,7 @@ def _names(text: str) -> list[str]:
 def telling(name: str) -> bool:
     """Whether a name says that its value grants access."""
     words = _names(name)
-    if set(words) & PLAIN:
+    if set(words) & PLAIN or words and words[-1] in NAMING:
         return False
     joined = "".join(words)
     if set(words) & SECRET or joined in SECRET:
@@ -187,20 +196,21 @@ class Finder:
         return self.words.unexplained(value) >= least
 
     def _password(self, value: str) -> bool:
-        """A value beside a telling name: residual, or words with digits or signs as passwords have them."""
+        """A value beside a telling name of which enough stays unexplained."""
         if len(value) < 5 or " " in value or PLACEHOLDER.match(value) or _PREFIXES.match(value):
             return False
         if re.search(r"[(){}]|^https?://|^[\w.]+\.[a-z]+\($|->|::", value):
             return False
-        if self.words.unexplained(value) >= RESIDUAL:
-            return True
-        return bool(re.search(r"[A-Za-z]", value) and re.search(r"\d", value) and (re.search(r"\d{3,}|[!#$%^&*@?]", value)) and not re.search(r"\s", value))
+        return self.words.left(value) >= RESIDUAL
 
-    def in_line(self, line: str) -> list[tuple[int, int]]:
-        """Begin and end of each credential's value in a line."""
+    def in_line(self, line: str, following: list[str] | None = None) -> list[tuple[int, int]]:
+        """Begin and end of each credential's value in a line. The opening of a key block counts if its body, here and in the following
+        lines, stays unexplained; without lines that follow, for the opening itself.
+        """
         if not may_hold(line):
             return []
-        out: list[tuple[int, int]] = [m.span() for m in _KEY_BLOCK.finditer(line)]
+        block = self.block_in(line, following)
+        out: list[tuple[int, int]] = [block] if block else []
         out += [m.span() for m in ISSUED.finditer(line) if self.words.unexplained(m.group()) >= RESIDUAL_FORM]
         out += [m.span(1) for m in _URL_LOGIN.finditer(line) if self._url_password(m.group(1))]
         out += [m.span(1) for m in _URL_PARAM.finditer(line) if self._real(m.group(1), RESIDUAL_FORM)]
@@ -228,15 +238,15 @@ class Finder:
         return sorted(set(out))
 
     def _url_password(self, value: str) -> bool:
-        return len(value) >= 3 and not PLACEHOLDER.match(value) and not re.search(r"[${}<>]", value) and (self.words.unexplained(value) >= 3 or bool(re.search(r"\d", value)))
+        return len(value) >= 3 and not PLACEHOLDER.match(value) and not re.search(r"[${}<>]", value) and self.words.left(value) >= RESIDUAL_PLACE
 
     def _connection(self, value: str) -> bool:
-        return len(value) >= 4 and not PLACEHOLDER.match(value) and not re.search(r"[{}<>]|^\$", value) and (self.words.unexplained(value) >= 3 or bool(re.search(r"\d", value)))
+        return len(value) >= 4 and not PLACEHOLDER.match(value) and not re.search(r"[{}<>]|^\$", value) and self.words.left(value) >= RESIDUAL_PLACE
 
     def _noted(self, value: str) -> bool:
         if len(value) < 6 or PLACEHOLDER.match(value) or _HASHES.match(value) or re.search(r"[${}<>()\[\]]", value):
             return False
-        return bool(re.search(r"[A-Za-z]", value)) and (bool(re.search(r"\d{2,}|[a-z]\d|\d[a-z]", value)) or self.words.unexplained(value) >= 6)
+        return bool(re.search(r"[A-Za-z]", value)) and self.words.left(value) >= (RESIDUAL_PLACE if re.search(r"\d", value) else RESIDUAL + 2)
 
     def _named(self, line: str, at: int, value: str) -> bool:
         left = line[:at]
@@ -252,29 +262,51 @@ class Finder:
         # further left: another argument, a fallback of an environment variable, a header's name
         return telling(left[-80:]) and not re.search(r"\s|://", value) and len(value) >= 12 and self.words.unexplained(value) >= max(RESIDUAL_FORM, len(value) // 2)
 
+    def block_in(self, line: str, following: list[str] | None) -> tuple[int, int] | None:
+        block = _KEY_BLOCK.search(line) if "-----BEGIN" in line else None
+        if block and following is not None:
+            body = " ".join([line[block.end() :], *following[:3]]).split("-----END")[0]
+            if sum(map(self.words.unexplained, _KEY_BODY.findall(body))) < RESIDUAL_FORM:
+                return None
+        return block.span() if block else None
+
     def find(self, code: str) -> list[tuple[int, int, int]]:
         """(line from 1, begin, end) of each credential; a block or a value in pieces is known by its first line."""
-        return [(n, a, b) for n, line in enumerate(code.split("\n"), 1) for a, b in self.in_line(line)]
+        lines = code.split("\n")
+        return [(n, a, b) for n, line in enumerate(lines, 1) for a, b in self.in_line(line, lines[n : n + 3])]
 
     def mask(self, code: str) -> str:
-        """The code with each value replaced by asterisks of the same length; key blocks lose their body."""
+        """The code with each value replaced by asterisks of the same length; key blocks lose their body.
+
+        The pieces of a value go with it where they are joined to it: by a sign of joining at the end of a line or at the
+        beginning of the next, or by standing alone one below the other within an open bracket.
+        """
         lines, out, inside, joined = code.split("\n"), [], False, False
-        for line in lines:
-            spans = self.in_line(line)
-            block = _KEY_BLOCK.search(line)
-            pieces = []
-            if inside:
-                pieces = [m.span() for m in _KEY_BODY.finditer(line) if "-----" not in m.group()]
-            elif joined and re.match(r"\s*[+.]?\s*[\"'`]", line):
-                pieces = [m.span(m.lastindex or 1) for m in _LITERAL.finditer(line)]
-            for a, b in sorted([s for s in spans if not block or s != block.span()] + pieces, reverse=True):
-                line = line[:a] + "*" * (b - a) + line[b:]
-            joined = bool(pieces and joined or spans) and not re.search(r"[;}]\s*$", line) and not inside
-            if block and not _KEY_END.search(line, block.end()):
-                inside, joined = True, False
-            elif inside and _KEY_END.search(line):
-                inside = False
-            out.append(line)
+        for n, line in enumerate(lines):
+            block = self.block_in(line, lines[n + 1 : n + 4])
+            spans = [x for x in self.in_line(line, lines[n + 1 : n + 4]) if x != block]
+            begin = block[1] if block else 0
+            body_end = line.find("-----END", begin) if inside or block else -1
+            hidden = list(spans)
+            if inside or block:
+                hidden += [m.span() for m in _KEY_BODY.finditer(line, begin, body_end if body_end >= 0 else len(line))]
+            last = max((b for _, b in spans), default=None)
+            if joined and (m := _PIECE.match(line)) and (m.group(1) or joined == "open" or joined == "sign"):
+                a, b = m.span(m.lastindex or 2)
+                hidden.append((a, b))
+                last = max(b, last or 0)
+            masked = list(line)
+            for a, b in hidden:
+                masked[a:b] = "*" * (b - a)
+            out.append("".join(masked))
+            if inside or block:
+                inside, joined = body_end < 0, False
+            elif last is None:
+                joined = False
+            else:
+                rest = line[last + 1 :].strip()
+                bracket = joined == "open" or line[:last].count("(") > line[:last].count(")")
+                joined = "sign" if rest in ("+", ".", "\\", "..") else ("open" if bracket else "value") if not rest else False
         return "\n".join(out)
 
 
