@@ -197,3 +197,21 @@ def test_a_dense_cell_loses_no_neighbours(spark, monkeypatch, tmp_path):
     s[np.arange(600), np.arange(600)] = -1
     want = {(f"v{i:05d}", f"v{j:05d}") for i in range(600) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.85}
     assert len(got & want) >= 0.98 * len(want) > 2000
+
+
+def test_large_classes_are_paired_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(spans, "BLOCK", 3)
+    rng = random.Random(5)
+    letters = "abcdefghijklmnop "
+    same = "".join(rng.choice(letters) for _ in range(260))
+    span = "".join(rng.choice(letters) for _ in range(210))
+    texts = {f"c{i:02d}": same for i in range(10)} | {f"s{i:02d}": f"{i:03d}{span}{i:04d}" for i in range(11)} | {"x": same[:230] + "y" * 40}
+    df = spark.createDataFrame(list(texts.items()), "id string, code string")
+
+    def share(a: str, b: str) -> bool:
+        return any(a[i : i + 200] in b for i in range(len(a) - 199))
+
+    want = {(a, b) for a in texts for b in texts if a < b and share(texts[a], texts[b])}
+    assert {(r.id_a, r.id_b) for r in spans.shared_pairs(df).collect()} == want and len(want) == 45 + 55 + 10
+    classes = {r.id: (r.class_id, r.n_members, r.n_links) for r in spans.shared_classes(df).collect()}
+    assert classes["c07"] == ("c00", 10, 1) and classes["x"] == ("x", 1, 1) and classes["s03"] == ("s03", 1, 10)
