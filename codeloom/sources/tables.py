@@ -13,27 +13,28 @@ def load(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core some rows before Python work.
+    """Give several cores some rows before Python work where a table is one small file, which the reader cannot split.
 
-    A scan of a large table already has more splits than there are cores and is left alone. A table that arrives as a
-    few splits only (one small file) is repartitioned, by `keys` if given, else round robin.
+    Such a table is repartitioned, by `keys` if given, else round robin. Tables of several files are read as they are split,
+    whatever their size and that of the cluster.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if len(df.inputFiles()) > 1:
         return df
-    return df.repartition(cores * 2, *keys)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 2, *keys)
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and read it from there.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir. Where none is set, as in local tests, a
-    folder below the session's warehouse is taken. The files survive the loss of any executor.
+    The folder is the one that the cluster names in spark.checkpoint.dir. Where none is set, a local session takes a
+    folder below its warehouse; a cluster must name one. The files survive the loss of any executor.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         set_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if set_dir is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if set_dir is None:
             set_dir = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         sc.setCheckpointDir(set_dir)
