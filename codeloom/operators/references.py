@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Ids with this prefix are placeholders by design.
 PLACEHOLDER = "external::"
+#: A key with more than one in so many of all ends is hot; there are fewer than this many. Its ends are joined in so many parts as it holds such shares.
+SHARES = 1_000
 
 
 def _begin() -> Column:
@@ -35,6 +37,18 @@ def edge_ends(edges: DataFrame) -> DataFrame:
     return ends.filter(F.col("key").isNotNull() & ~F.col("key").startswith(PLACEHOLDER))
 
 
+def key_uses(ends: DataFrame) -> DataFrame:
+    """(key, n, first_use, last_use): one row for each referenced key. Partial aggregation leaves one row of a hot key per task."""
+    return ends.groupBy("key").agg(F.count("*").alias("n"), F.min("emitted_at").alias("first_use"), F.max("emitted_at").alias("last_use"))
+
+
+def hot_keys(keys: DataFrame) -> DataFrame:
+    """(key, parts) of the hot keys, fewer than SHARES."""
+    total = keys.agg(F.sum("n").alias("total"))
+    parts = F.ceil(F.col("n") * SHARES / F.col("total")).cast("int")
+    return keys.crossJoin(F.broadcast(total)).filter(F.col("n") * SHARES > F.col("total")).select("key", parts.alias("parts"))
+
+
 def absence_spans(ends: DataFrame, nodes: DataFrame, deletions: DataFrame) -> DataFrame:
     """The times (key, reason, since, until) at which a referenced key stands for no live record.
 
@@ -43,7 +57,7 @@ def absence_spans(ends: DataFrame, nodes: DataFrame, deletions: DataFrame) -> Da
     indexing, `deleted` the time from a deletion to the next indexing. A node without indexed_at counts as always
     there, a deletion without deleted_at is ignored.
     """
-    keys = ends.groupBy("key").agg(F.min("emitted_at").alias("first_use"), F.max("emitted_at").alias("last_use"))
+    keys = key_uses(ends)
     seen = nodes.filter(F.col("id").isNotNull()).select(
         F.col("id").alias("key"), F.coalesce("indexed_at", _begin()).alias("indexed_at")
     )
@@ -82,14 +96,20 @@ def orphan_ends(edges: DataFrame, nodes: DataFrame, deletions: DataFrame) -> Dat
     """Every orphan end as (edge_id, rel_type, emitted_at, side, reason), each once.
 
     Ids are compared exactly. An edge without emitted_at can only be `missing`. A null edge_id stays a null. Empty
-    tables give an empty result, or all ends `missing` where only `nodes` is empty. Other columns are ignored.
+    tables give an empty result, or all ends `missing` where only `nodes` is empty. Other columns are ignored. The ends of
+    a hot key are parted over several tasks, and its spans are repeated in each part.
     """
     ends = edge_ends(edges)
     spans = absence_spans(ends, nodes, deletions)
+    hot = F.broadcast(hot_keys(key_uses(ends)))
+    part = F.coalesce(F.pmod(F.xxhash64("edge_id", "side", "emitted_at"), F.col("parts")).cast("int"), F.lit(0))
+    ends = ends.join(hot, "key", "left").withColumn("part", part).drop("parts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    spans = spans.join(hot, "key", "left").withColumn("part", every).drop("parts")
     at: Column = F.col("emitted_at")
     inside = (F.col("reason") == "missing") | ((at >= F.col("since")) & (at < F.col("until")))
     return (
-        ends.join(spans, "key").filter(inside).select("edge_id", "rel_type", "emitted_at", "side", "reason").distinct()
+        ends.join(spans, ["key", "part"]).filter(inside).select("edge_id", "rel_type", "emitted_at", "side", "reason").distinct()
     )
 
 

@@ -58,3 +58,13 @@ def test_empty_tables(spark):
     assert R.orphan_ends(e, n, g).isEmpty() and R.orphan_counts(e, n, g).isEmpty()
     one = spark.createDataFrame([(1, "a", None, "CALLS", day(1), day(1), "", "")], EDGES)
     assert [tuple(r) for r in R.orphan_ends(one, n, g).select("edge_id", "side", "reason").collect()] == [(1, "source", "missing")]
+
+
+def test_ends_of_a_hot_key_are_joined_in_parts(spark):
+    edges = [(i, "hot", f"t{i}", "CALLS", day(i % 30), day(60), "", "") for i in range(600)]
+    nodes = [("hot", day(10), "", "")] + [(f"t{i}", day(0), "", "") for i in range(600)]
+    gone = [("hot", day(20.5), "")]
+    args = spark.createDataFrame(edges, EDGES), spark.createDataFrame(nodes, NODES), spark.createDataFrame(gone, GONE)
+    hot = R.hot_keys(R.key_uses(R.edge_ends(args[0]))).collect()
+    assert {r.key: r.parts for r in hot}["hot"] == 500 and len(hot) < R.SHARES
+    assert {(r.edge_id, r.side, r.reason) for r in R.orphan_ends(*args).collect()} == brute(edges, nodes, gone)
