@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,7 +56,7 @@ def _passes(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, s
 
 
 def _shards(batches: Iterator[pa.RecordBatch], number: dict[str, int]) -> Iterator[tuple[np.ndarray, list]]:
-    """Word numbers of some texts with a gap after each, and where each text (or piece of it) begins."""
+    """Word numbers of some texts with a gap after each, and where each text (or piece of it) begins: place, document, first word, text."""
     parts, begins, size = [], [], 0
     get = number.get
     for batch in batches:
@@ -66,7 +66,7 @@ def _shards(batches: Iterator[pa.RecordBatch], number: dict[str, int]) -> Iterat
                 continue
             for cut in range(0, max(1, len(ids) - SPAN + 1), SHARD):
                 piece = ids[cut : cut + SHARD + SPAN - 1]
-                begins.append((size, doc, cut))
+                begins.append((size, doc, cut, text))
                 parts += [piece, np.zeros(1, np.int32)]
                 size += len(piece) + 1
                 if size >= SHARD:
@@ -76,16 +76,18 @@ def _shards(batches: Iterator[pa.RecordBatch], number: dict[str, int]) -> Iterat
         yield np.concatenate(parts), begins
 
 
-def leaked_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item, first_word, n_words): maximal spans of words of a document that are made of phrases of an item.
+def _merged(spans: DataFrame, keys: list[str], begin: str, end: str, *more: Column) -> DataFrame:
+    """Spans of equal keys that overlap or touch as one, with what else is gathered of them."""
+    so_far = Window.partitionBy(*keys).orderBy(begin, end)
+    reach = F.max(end).over(so_far.rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.withColumn("new", F.coalesce((F.col(begin) > reach).cast("int"), F.lit(1)))
+    parted = new.withColumn("part", F.sum("new").over(so_far))
+    return parted.groupBy(*keys, "part").agg(F.min(begin).alias(begin), F.max(end).alias(end), *more).drop("part")
 
-    Every partition of documents is indexed in shards; all phrases of SPAN words are searched backward in each index and
-    overlapping or touching places of one item merge to one span. Null and empty texts, and texts of fewer than SPAN
-    words, give no row; repeated documents each give theirs; an empty table on either side gives an empty result.
-    """
-    schema = T.StructType(
-        [docs.schema[key], T.StructField("item_id", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())]
-    )
+
+def _found(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str) -> DataFrame:
+    """(key, item_id, first_word, end_word, first_char, end_char): the spans of each shard; a span across a cut comes in two that overlap."""
+    schema = T.StructType([docs.schema[key]] + [T.StructField(n, T.LongType()) for n in ("item_id", "first_word", "end_word", "first_char", "end_char")])
     sc = docs.sparkSession.sparkContext
     out = None
     for group in _passes(items, item_key, item_text):
@@ -108,13 +110,15 @@ def leaked_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                         spans[-1][3] = p + SPAN
                     else:
                         spans.append([w, item, p, p + SPAN])
-                columns = [
-                    pa.array([begins[s[0]][1] for s in spans], batch_type),
-                    pa.array([s[1] for s in spans], pa.int64()),
-                    pa.array([s[2] for s in spans], pa.int64()),
-                    pa.array([s[3] - s[2] for s in spans], pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=[key, "item_id", "first_word", "n_words"])
+                places, last = [], -1
+                for s in spans:
+                    if s[0] != last:
+                        last, own = s[0], [m.span() for m in WORD.finditer(begins[s[0]][3])]
+                    places.append((own[s[2]][0], own[s[3] - 1][1]))
+                columns = [pa.array([begins[s[0]][1] for s in spans], batch_type)]
+                columns += [pa.array([s[k] for s in spans], pa.int64()) for k in (1, 2, 3)]
+                columns += [pa.array([x[k] for x in places], pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         batch_type = pa.string() if isinstance(docs.schema[key].dataType, T.StringType) else pa.int64()
         found = docs.select(key, text).filter(F.length(text) >= 2 * SPAN - 1).mapInArrow(search, schema)
@@ -122,6 +126,28 @@ def leaked_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     return out
 
 
+def leaked_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(key, item, first_word, n_words): maximal spans of words of a document that are made of phrases of an item.
+
+    Every partition of documents is indexed in shards; all phrases of SPAN words are searched backward in each index and
+    overlapping or touching places of one item merge to one span, also across the cuts of a long document. Null and empty
+    texts, and texts of fewer than SPAN words, give no row; repeated documents each give theirs if their keys differ; an
+    empty table on either side gives an empty result.
+    """
+    spans = _found(docs, items, key, text, item_key, item_text).select(key, "item_id", "first_word", "end_word")
+    merged = _merged(spans, [key, "item_id"], "first_word", "end_word")
+    return merged.select(key, "item_id", "first_word", (F.col("end_word") - F.col("first_word")).alias("n_words"))
+
+
+def removals(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(key, first_char, end_char, n_items): the ranges of characters to cut out of a document, over all items; end_char is the first one after.
+
+    Ranges that overlap or touch are one. Characters count from 0. Rows as for `leaked_spans`.
+    """
+    spans = _found(docs, items, key, text, item_key, item_text).select(key, "item_id", "first_char", "end_char")
+    return _merged(spans, [key], "first_char", "end_char", F.countDistinct("item_id").alias("n_items"))
+
+
 def leaked_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id), each pair once."""
-    return leaked_spans(docs, items).select("doc_id", "item_id").distinct()
+    return _found(docs, items, "doc_id", "text", "item_id", "text").select("doc_id", "item_id").distinct()

@@ -75,6 +75,11 @@ def p9_spans(spark, d):
     return leakage.leaked_spans(docs, load(spark, d, "eval_items"))
 
 
+def p9_removals(spark, d):
+    docs = spread(load(spark, d, "documents").select("doc_id", "text"))
+    return leakage.removals(docs, load(spark, d, "eval_items"))
+
+
 def p10_found(spark, d):
     docs = spread(load(spark, d, "documents").select("doc_id", "text", "lang"))
     found = language.document_languages(docs).filter(F.col("verdict") != "right")
@@ -85,7 +90,7 @@ def p10_segments(spark, d):
     return language.document_segments(spread(load(spark, d, "documents").select("doc_id", "text", "lang")))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_shared": p7_shared, "p7_classes": p7_classes, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_segments": p10_segments}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_shared": p7_shared, "p7_classes": p7_classes, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans, "p9_removals": p9_removals, "p10_found": p10_found, "p10_segments": p10_segments}
 
 ORACLE: dict[str, str] = {
     "p9_found": """
@@ -94,4 +99,14 @@ dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: arr
 iw AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS w FROM eval_items),
 ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM iw)
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p9_spans": """
+WITH dw AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS w FROM documents),
+dp AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS p FROM dw),
+dg AS (SELECT doc_id, p - 1 AS p, array_to_string(w[p:p + 11], ' ') AS g FROM dp),
+iw AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS w FROM eval_items),
+ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM iw),
+h AS (SELECT DISTINCT doc_id, item_id, p FROM dg JOIN ig USING (g)),
+n AS (SELECT *, CASE WHEN p <= lag(p) OVER k + 12 THEN 0 ELSE 1 END AS new FROM h WINDOW k AS (PARTITION BY doc_id, item_id ORDER BY p)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY p) AS part FROM n)
+SELECT doc_id, item_id, min(p) AS first_word, max(p) + 12 - min(p) AS n_words FROM i GROUP BY doc_id, item_id, part""",
 }

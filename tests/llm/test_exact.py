@@ -215,3 +215,17 @@ def test_large_classes_are_paired_in_blocks(spark, monkeypatch):
     assert {(r.id_a, r.id_b) for r in spans.shared_pairs(df).collect()} == want and len(want) == 45 + 55 + 10
     classes = {r.id: (r.class_id, r.n_members, r.n_links) for r in spans.shared_classes(df).collect()}
     assert classes["c07"] == ("c00", 10, 1) and classes["x"] == ("x", 1, 1) and classes["s03"] == ("s03", 1, 10)
+
+
+def test_leaks_across_cuts_are_one_span_and_can_be_cut_out(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "SHARD", 100)
+    leak = " ".join(f"leak{i}" for i in range(50))
+    other = " ".join(f"leak{i}" for i in range(40, 50)) + " " + " ".join(f"more{i}" for i in range(20))
+    before = " ".join(f"Word{i}" for i in range(80))
+    doc = f"{before}, {leak} " + " ".join(f"more{i}" for i in range(20)) + "; " + " ".join(f"end{i}" for i in range(90))
+    docs = spark.createDataFrame([(1, doc), (2, None), (3, "short")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, leak), (6, other)], "item_id long, text string")
+    spans = sorted(tuple(r) for r in leakage.leaked_spans(docs, items).collect())
+    assert spans == [(1, 5, 80, 50), (1, 6, 120, 30)]
+    (cut,) = leakage.removals(docs, items).collect()
+    assert doc[: cut.first_char] == before + ", " and doc[cut.first_char : cut.end_char] == leak + " " + " ".join(f"more{i}" for i in range(20)) and cut.n_items == 2
