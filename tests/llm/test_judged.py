@@ -255,3 +255,24 @@ def test_no_row_without_a_residual():
     assert all(finder.find(x) for x in lines)
     finder.words.left = finder.words.unexplained = lambda value: 0
     assert not any(finder.find(x) for x in lines)
+
+
+@pytest.mark.parametrize("text", ["# Do not edit the order of these imports, circular!\nimport a\n", "# This file was generated by hand, with care.\nx = f(1)\n", "// This code is generated lazily by the caller\nint x;\n"])
+def test_comments_that_are_no_notices(text):
+    assert handwritten.judge(text, ".py") is None
+
+
+def test_a_notice_after_a_long_licence_counts_and_one_after_code_does_not():
+    licence = "".join(f"// line {i} of a licence\n" for i in range(40))
+    assert handwritten.judge(licence + "// Code generated by toolc v1. DO NOT EDIT.\nclass A { void f() { g(); } }\n", ".java") == "generated"
+    assert handwritten.judge("package p;\nimport q.R;\n/**\n * Machine written. Regenerate with: make x\n */\nclass A { }\n", ".java") == "generated"
+    assert handwritten.judge("int x = f();\n// Code generated by toolc v1. DO NOT EDIT.\n", ".java") is None
+
+
+def test_a_table_or_an_image_inside_a_hand_written_file():
+    functions = "".join(f"\n\ndef total{k}(names):\n    found = [first(x) for x in names]\n    if not found:\n        return {k}\n    return sum(x[1] for x in found if x)\n" for k in range(2))
+    table = "LIMITS = [\n" + "".join(f"    ({i}, {i * 37}, {i * 911}),\n" for i in range(30)) + "]\n"
+    assert handwritten.judge(table + functions, ".py") is None
+    image = 'ICON = "' + "iVBORw0KGgoAAAANSUhEUgAAAB" * 8 + '"\n'
+    assert len(image) > len(functions) / 3 and handwritten.judge(image + functions, ".py") is None
+    assert handwritten.judge(table * 3, ".py") in ("data", "generated")
