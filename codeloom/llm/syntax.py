@@ -10,6 +10,8 @@ saves time. A file that no dialect of its language accepts is flagged.
 from __future__ import annotations
 
 import re
+import sys
+import threading
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -75,23 +77,28 @@ class Shapes:
             got = self.known[key] = self.grammar.accepts(self.kinds(tokens), starts) if starts else frozenset()
         return got
 
+    def shortened(self, tokens: tuple[str, ...], starts: tuple[str, ...], bracket: str) -> frozenset[str]:
+        """The same by the shorter form of a long list, which only saves time: where that is not accepted, the whole list decides."""
+        short = _short(tokens)
+        return self.recognise(short, starts, bracket) or (self.recognise(tokens, starts, bracket) if len(short) < len(tokens) else frozenset())
+
     def accepted(self, bracket: str, tokens: tuple[str, ...], cut) -> frozenset[str]:
         """The nonterminals of this bracket that derive its content; `cut` parts lists of statements."""
         starts = self.starts[bracket]
         if bracket == "(" or bracket == "[":
-            return self.recognise(_short(tokens), starts, bracket)
+            return self.shortened(tokens, starts, bracket)
         pieces = cut(tokens)
         if len(pieces) <= 1:
-            return self.recognise(_short(tokens), starts, bracket)
+            return self.shortened(tokens, starts, bracket)
         lists = tuple(s for s in starts if s in self.lists)
         left = frozenset(lists)
         for piece in pieces:
-            left &= self.recognise(_short(piece), lists, bracket + ";")
+            left &= self.shortened(piece, lists, bracket + ";")
             if not left:
                 break
         others = tuple(s for s in starts if s not in self.lists)
-        if others and (not left or len(tokens) < 400):
-            left |= self.recognise(_short(tokens), others, bracket + "!")
+        if others:
+            left |= self.shortened(tokens, others, bracket + "!")
         return left
 
 
@@ -555,6 +562,13 @@ _DIRECTIVE = re.compile(r"(?m)^[ \t]*#[ \t]*(?:region|endregion|if|else|elif|end
 
 def why_invalid(text: str, suffix: str) -> str | None:
     """Why no dialect of the suffix's language accepts a text; None if one does, for blank texts and for other suffixes."""
+    try:
+        return _why_invalid(text, suffix)
+    except RecursionError:
+        return _in_deep_thread(text, suffix)
+
+
+def _why_invalid(text: str, suffix: str) -> str | None:
     if suffix not in SUFFIXES:
         return None
     name, jsx = SUFFIXES[suffix]
@@ -575,11 +589,37 @@ def why_invalid(text: str, suffix: str) -> str | None:
             got = Scanner(language, text, jsx).parse()
     except Invalid as x:
         return str(x)
-    except RecursionError:
-        return "nested too deeply"
     return None if got else "no rule for the file"
 
 
+#: Bytes of the stack of a thread for deeply nested files, and calls that it may hold.
+STACK, DEPTH = 512 << 20, 200_000
+
+
+def _in_deep_thread(text: str, suffix: str) -> str | None:
+    """`why_invalid` with room for DEPTH nested calls."""
+    answer: list = []
+
+    def run() -> None:
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(DEPTH)
+        try:
+            answer.append(_why_invalid(text, suffix))
+        except RecursionError:
+            answer.append("nested too deeply")
+        finally:
+            sys.setrecursionlimit(limit)
+
+    before = threading.stack_size(STACK)
+    try:
+        thread = threading.Thread(target=run)
+        thread.start()
+        thread.join()
+    finally:
+        threading.stack_size(before)
+    return answer[0]
+
+
 def invalid_files(files: DataFrame) -> DataFrame:
     """(repository, file_path, suffix, reason) of each file that is not valid in the language of its suffix, once.
 

@@ -276,3 +276,26 @@ def test_a_table_or_an_image_inside_a_hand_written_file():
     image = 'ICON = "' + "iVBORw0KGgoAAAANSUhEUgAAAB" * 8 + '"\n'
     assert len(image) > len(functions) / 3 and handwritten.judge(image + functions, ".py") is None
     assert handwritten.judge(table * 3, ".py") in ("data", "generated")
+
+
+def test_long_lists_get_the_verdict_of_the_plain_recogniser(monkeypatch):
+    rng = random.Random(11)
+    items = {".py": ["a", "1", "f(x)", "lambda a, b: a", "*c", "k=1", "d[0]", "x if y else z", "for", "b b"], ".js": ["a", "1", "f(x)", "(a, b) => a", "...c", "{k: 1}", "x ? y : z", "if", "b b"]}
+    texts = []
+    for suffix, forms in items.items():
+        for _ in range(60):
+            few = rng.sample(forms, 4)
+            inside = ", ".join(rng.choice(few) for _ in range(rng.randint(30, 90)))
+            texts.append((rng.choice(["x = [{}]", "f({})"]).format(inside) + "\n", suffix))
+    texts += [("x = {" + ", ".join(f"k{i}: {i}" for i in range(n)) + "};\n", ".js") for n in (5, 90, 200)]
+    short = [syntax.why_invalid(*t) is None for t in texts]
+    syntax._LANGUAGES.clear()
+    monkeypatch.setattr(syntax, "_short", lambda tokens: tokens)
+    assert [syntax.why_invalid(*t) is None for t in texts] == short and 10 < sum(short) < len(short) - 10
+    syntax._LANGUAGES.clear()
+
+
+def test_deep_nesting_is_no_error():
+    n = 1500
+    assert syntax.why_invalid("const a = " + "<b>" * n + "x" + "</b>" * n + ";", ".tsx") is None
+    assert syntax.why_invalid("const a = " + "<b>" * n + "x" + "</b>" * (n - 1) + ";", ".tsx")
