@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.sources.tables import durable
+
 NODE_KEY = ["label", "id"]
 EDGE_KEY = ["src_label", "source_id", "rel_type", "dst_label", "target_id"]
 
@@ -102,20 +104,24 @@ def orphan_packages(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return packages.join(alive, ["repository", "id"], "left_anti").select("label", "id")
 
 
-def orphan_packages_stepwise(nodes: DataFrame, edges: DataFrame, steps: int = 50) -> DataFrame:
-    """The rule itself, for graphs with edges between packages: leaves without incoming edges go, until none is left."""
+def orphan_packages_stepwise(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rule itself, for graphs with edges between packages: leaves without incoming edges go, until none is left.
+
+    Each step takes a level of packages away, so there are no more steps than names have parts; what a step finds is written to the
+    shared folder, which keeps the plan of the next one short.
+    """
     left, kept = nodes, edges
     out = nodes.filter(F.lit(False)).select("label", "id")
-    for _ in range(steps):
+    while True:
         packages = left.filter(F.col("label") == "Package").select("label", "id", "repository").distinct()
         used = kept.filter(F.col("dst_label") == "Package").select(F.col("target_id").alias("id")).distinct()
         above = packages.select("repository", F.explode(F.slice(F.reverse(prefixes(F.col("id"))), 2, 1000)).alias("id")).distinct()
         gone = packages.join(used, "id", "left_anti").join(above, ["repository", "id"], "left_anti").select("label", "id")
+        gone = durable(gone)
         if gone.isEmpty():
-            break
+            return out
         out = out.unionByName(gone)
-        left, kept = detach_delete(left, kept, gone)
-    return out
+        left, kept = (durable(x) for x in detach_delete(left, kept, gone))
 
 
 def orphan_references(nodes: DataFrame, edges: DataFrame) -> DataFrame:

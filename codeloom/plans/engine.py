@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.extract import registry
 from codeloom.operators import diff, embed, graph, merge
-from codeloom.plans.snapshot import Snapshot
+from codeloom.plans.snapshot import Conflict, Snapshot
 from codeloom.sources.listing import checkout, commit_sha, read_files
 from codeloom.sources.paths import DEFAULT_EXCLUSIONS
 from codeloom.sources.ship import ship
@@ -26,6 +26,10 @@ class Result(NamedTuple):
     errors: list[str]
 
 
+#: Times that a change is made again because another run was faster.
+REPEATS = 5
+
+
 class Engine:
     def __init__(self, spark: SparkSession, folder: str, provider: str | None = "hashed", dimensions: int = 64) -> None:
         ship(spark)
@@ -42,8 +46,30 @@ class Engine:
             return self.apply(files, name, source, commit_sha(folder), reindex)
 
     def apply(self, files: DataFrame, name: str, source: str, sha: str | None = None, reindex: bool = False) -> Result:
-        """The same for a table of one repository's files. All or nothing: the new version becomes current at the end."""
-        nodes, edges, repositories = (self.store.table(t) for t in ("nodes", "edges", "repositories"))
+        """The same for a table of one repository's files. All or nothing: the new version becomes current at the end.
+
+        If another run has changed the graph in between, it is done again on what that one left, so that no change is lost.
+        """
+        return self._repeated(lambda: self._apply(files, name, source, sha, reindex))
+
+    def _repeated(self, change):
+        for _ in range(REPEATS - 1):
+            try:
+                return change()
+            except Conflict:
+                pass
+        return change()
+
+    def _changed(self, name: str, nodes: tuple[DataFrame, DataFrame], edges: tuple[DataFrame, DataFrame]) -> DataFrame:
+        """Repositories that a change touches: its own, and those that lose nodes or edges by it."""
+        own = self.spark.createDataFrame([(name,)], "repository string")
+        lost = nodes[0].select("repository", *merge.NODE_KEY).join(nodes[1].select(*merge.NODE_KEY), merge.NODE_KEY, "left_anti").select("repository")
+        cut = edges[0].select(*merge.EDGE_KEY).join(edges[1].select(*merge.EDGE_KEY), merge.EDGE_KEY, "left_anti")
+        return own.unionByName(lost).unionByName(cut.select(F.split_part("source_id", F.lit("::"), F.lit(1)).alias("repository"))).distinct()
+
+    def _apply(self, files: DataFrame, name: str, source: str, sha: str | None, reindex: bool) -> Result:
+        base = self.store.version()
+        nodes, edges, repositories = (self.store.table(t, base) for t in ("nodes", "edges", "repositories"))
         own = nodes.filter(F.col("repository") == name)
         key = ["repository", "file_path"]
         plan = durable(diff.change_plan(files.withColumn("loaded_at", F.lit(0)), own))
@@ -52,7 +78,7 @@ class Engine:
         total, todo = plan.count(), plan.filter("needs_reindex").count()
         some_stale = not stale.isEmpty()
         if not todo and not some_stale:
-            self.store.commit({"nodes": nodes, "edges": edges, "repositories": self._repositories(repositories, own, name, source, sha)})
+            self.store.commit({"repositories": self._repositories(repositories, own, name, source, sha)}, base)
             return Result(name, total, 0, total, 0, 0, [])
         found = durable(registry.extract(files))
         errors = [f"{r.file_path}: {e}" for r in found.filter(F.size("errors") > 0).select("file_path", "errors").toLocalIterator() for e in r.errors]
@@ -82,7 +108,8 @@ class Engine:
             merged, joined = merge.drop_orphans(merged, joined)
         merged = durable(merged)
         rows = self._repositories(repositories, merged.filter(F.col("repository") == name), name, source, sha)
-        self.store.commit({"nodes": merged, "edges": joined, "repositories": rows})
+        joined = durable(joined)
+        self.store.commit({"nodes": merged, "edges": joined, "repositories": rows}, base, self._changed(name, (nodes, merged), (edges, joined)))
         return Result(name, total, todo, total - todo, made, linked, errors)
 
     def _repositories(self, old: DataFrame, own: DataFrame, name: str, source: str, sha: str | None) -> DataFrame:
@@ -92,11 +119,16 @@ class Engine:
 
     def delete_repository(self, name: str) -> bool:
         """Whether there was such a repository; its nodes go with all their edges."""
-        repositories = self.store.table("repositories")
+        return self._repeated(lambda: self._delete(name))
+
+    def _delete(self, name: str) -> bool:
+        base = self.store.version()
+        nodes, edges, repositories = (self.store.table(t, base) for t in ("nodes", "edges", "repositories"))
         if repositories.filter(F.col("name") == name).isEmpty():
             return False
-        left, kept, rows = merge.delete_repository(self.store.table("nodes"), self.store.table("edges"), repositories, name)
-        self.store.commit({"nodes": left, "edges": kept, "repositories": rows})
+        left, kept, rows = merge.delete_repository(nodes, edges, repositories, name)
+        left, kept = durable(left), durable(kept)
+        self.store.commit({"nodes": left, "edges": kept, "repositories": rows}, base, self._changed(name, (nodes, left), (edges, kept)))
         return True
 
     # --- reading

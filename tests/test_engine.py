@@ -182,3 +182,34 @@ def test_exclusions_and_hidden_files(engine, tree):
     run = engine.index(str(tree), "demo", patterns=("gen",))
     assert run.files_total == 4
     assert {"demo::lib/__init__.py", "demo::lib/.hid.py"} <= ids(engine.nodes, "File")
+
+
+def test_indexing_one_repository_leaves_the_files_of_the_others(engine, tree):
+    engine.index(str(tree), "demo")
+    engine.index(str(tree), "other")
+    before = engine.store.manifest()
+    (tree / "more.py").write_text("def more():\n    pass\n")
+    engine.index(str(tree), "demo")
+    after = engine.store.manifest()
+    for table in ("nodes", "edges"):
+        assert len(before[table]) == len(after[table]) == 2 and len(set(before[table].items()) & set(after[table].items())) == 1
+    assert {"demo::more.py"} <= ids(engine.nodes, "File") and "other::more.py" not in ids(engine.nodes, "File")
+
+
+def test_two_runs_at_the_same_time_keep_both_results(engine, tree, monkeypatch):
+    from codeloom.plans.snapshot import Snapshot
+
+    engine.index(str(tree), "first")
+    commit, calls = Snapshot.commit, []
+
+    def slow(self, *args):
+        calls.append(1)
+        if len(calls) == 1:
+            engine.index(str(tree), "second")  # another run is faster
+        return commit(self, *args)
+
+    monkeypatch.setattr(Snapshot, "commit", slow)
+    (tree / "more.py").write_text("def more():\n    pass\n")
+    engine.index(str(tree), "first")
+    assert len(calls) == 3 and [r.name for r in engine.list_repositories().collect()] == ["first", "second"]
+    assert {"first::more.py", "second::more.py"} <= ids(engine.nodes, "File")
