@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -72,27 +73,66 @@ def _hashed(dimensions: int) -> Provider:
 register_provider("hashed", _hashed)
 
 
-def embed(nodes: DataFrame, name: str = "hashed", dimensions: int = 64, attempts: int = 3) -> DataFrame:
-    """`nodes` with the embedding of every embeddable one; a batch that fails `attempts` times, or answers with another number of vectors, gives nulls."""
+def one_by_one(factory: Callable[[int], Callable[[str], list[float]]]) -> Callable[[int], Provider]:
+    """The factory of a provider from that of one which takes a single text a call."""
+
+    def made(dimensions: int) -> Provider:
+        single = factory(dimensions)
+        return lambda texts: [single(text) for text in texts]
+
+    return made
+
+
+#: Seconds before the second attempt; each further one waits twice as long.
+WAIT = 0.5
+
+
+def _called(embed_texts: Provider, batch: list[str], dimensions: int, attempts: int, wait: float) -> tuple[list, str | None]:
+    """The vectors of a batch, or nulls and why there are none."""
+    why = None
+    for attempt in range(attempts):
+        if attempt:
+            time.sleep(wait * 2 ** (attempt - 1))
+        try:
+            got = embed_texts(batch)
+        except Exception as x:  # a provider's failure must not end the job
+            why = f"{type(x).__name__}: {x}"
+            continue
+        if len(got) != len(batch):
+            why = f"{len(got)} vectors for {len(batch)} texts"
+        elif any(v is not None and len(v) != dimensions for v in got):
+            why = f"vectors of another size than {dimensions}"
+        else:
+            return list(got), None
+    return [None] * len(batch), why
+
+
+def embed_with_errors(nodes: DataFrame, name: str = "hashed", dimensions: int = 64, attempts: int = 3, wait: float = WAIT) -> DataFrame:
+    """`nodes` with the embedding of every embeddable one, and embedding_error: why a node that should have one has none.
+
+    Texts go to the provider BATCH at a time. A batch that fails, or answers with another number of vectors or with vectors of another
+    size, is tried again after a wait; after `attempts` times its nodes get a null and the last error. Other batches go on.
+    """
     embed_texts = provider(name, dimensions)
 
-    @F.pandas_udf("array<float>")
-    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<embedding: array<float>, error: string>")
+    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            out: list = []
+            out, errors = [], []
             for i in range(0, len(texts), BATCH):
                 batch = texts.iloc[i : i + BATCH].tolist()
-                got: list = []
-                for _ in range(attempts):
-                    try:
-                        got = embed_texts(batch)
-                        break
-                    except Exception:
-                        got = []
-                out += got if len(got) == len(batch) else [None] * len(batch)
-            yield pd.Series(out)
+                got, why = _called(embed_texts, batch, dimensions, attempts, wait)
+                out += got
+                errors += [why] * len(batch)
+            yield pd.DataFrame({"embedding": pd.Series(out, dtype=object), "error": pd.Series(errors, dtype=object)})
 
     rest = [c for c in nodes.columns if c != "embedding"]
-    wanted = nodes.filter(is_embeddable(F.col("label"))).select(*rest, vectors(embedding_text(nodes)).alias("embedding"))
-    others = nodes.filter(~is_embeddable(F.col("label"))).select(*rest, F.lit(None).cast("array<float>").alias("embedding"))
-    return wanted.unionByName(others).select(*nodes.columns)
+    wanted = nodes.filter(is_embeddable(F.col("label"))).select(*rest, vectors(embedding_text(nodes)).alias("_made"))
+    wanted = wanted.select(*rest, F.col("_made.embedding").alias("embedding"), F.col("_made.error").alias("embedding_error"))
+    others = nodes.filter(~is_embeddable(F.col("label"))).select(*rest, F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_error"))
+    return wanted.unionByName(others).select(*[c for c in nodes.columns if c != "embedding_error"], "embedding_error")
+
+
+def embed(nodes: DataFrame, name: str = "hashed", dimensions: int = 64, attempts: int = 3, wait: float = WAIT) -> DataFrame:
+    """The same without the errors."""
+    return embed_with_errors(nodes, name, dimensions, attempts, wait).select(*nodes.columns)

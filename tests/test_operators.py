@@ -107,3 +107,24 @@ def test_hierarchy_has_no_deepest_level(spark):
     parents = spark.createDataFrame(list(zip(names[1:], names)), "child string, parent string")
     got = {r.id: (r.path, r.depth) for r in graph.hierarchy(nodes, parents).collect()}
     assert got == {n: (".".join(names[: i + 1]), i) for i, n in enumerate(names)}
+
+
+def test_providers_with_failures_and_of_single_texts(spark):
+    from codeloom.operators import embed
+
+    def single(dimensions):
+        def vector(text):
+            if "bad" in text:
+                raise ValueError("no vector for this")
+            return [float(len(text))] * (dimensions + ("long" in text))
+
+        return vector
+
+    embed.register_provider("single", embed.one_by_one(single))
+    rows = [("Method", f"m{i:02d}", "x", None, None, c, None) for i, c in enumerate(["good"] * 8 + ["bad"] + ["good"] * 7 + ["long"])] + [("Field", "f", "x", None, None, None, None)]
+    nodes = spark.createDataFrame(rows, "label string, id string, signature string, stereotypes array<string>, docstring string, code string, embedding array<float>").coalesce(1)
+    got = {r.id: r for r in embed.embed_with_errors(nodes, "single", 4, attempts=2, wait=0.0).collect()}
+    assert all(len(got[f"m{i:02d}"].embedding) == 4 and got[f"m{i:02d}"].embedding_error is None for i in range(8))
+    assert all(got[f"m{i:02d}"].embedding is None and got[f"m{i:02d}"].embedding_error == "ValueError: no vector for this" for i in range(8, 16))
+    assert got["m16"].embedding_error == "vectors of another size than 4" and got["f"].embedding is None and got["f"].embedding_error is None
+    assert embed.embed(nodes, "single", 4, attempts=1).columns == nodes.columns
