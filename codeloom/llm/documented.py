@@ -4,6 +4,9 @@ A function's description is its recorded docstring or, where that is null, the d
 Python the docstring of the function node of its abstract syntax tree, for the other languages the documentation comment
 before the declaration. Marks and tags without text are taken away; what is then empty, a placeholder, a reminder or only the
 function's name again is no description.
+
+`documented_sources` reads the functions from the source files themselves: Python by its syntax tree, the other languages by their
+declarations, which are found by matching brackets; each with the range of characters that it takes in its file.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.extract import registry
+
 #: Labels of nodes that are functions.
 FUNCTIONS = ("Method", "Constructor")
 
@@ -150,3 +155,46 @@ def documented_functions(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), rows.column(5), pa.array(texts, pa.string())], names=["id", "language", "signature", "code", "description"])
 
     return usable.mapInArrow(run, "id string, language string, signature string, code string, description string")
+
+
+_SOURCES = "repository string, file_path string, id string, language string, begin_char long, end_char long, line_number int, line_end int, signature string, code string, description string"
+
+
+def _range(text: str, starts: list[int], code: str, line: int) -> tuple[int | None, int | None]:
+    """Where a function's code, which begins in a line, stands in its file."""
+    at = text.find(code, starts[min(line, len(starts)) - 1])
+    return (at, at + len(code)) if at >= 0 else (None, None)
+
+
+def documented_sources(files: DataFrame) -> DataFrame:
+    """(repository, file_path, id, language, begin_char, end_char, line_number, line_end, signature, code, description): the documented functions of source files.
+
+    Characters count from 0, without a byte order mark and with line ends as \\n, so that the slice from begin_char to end_char is `code`. Files that do
+    not parse, null and blank contents and other suffixes give no row; files delivered twice count once; functions of equal id in
+    one file each have a row; an empty table gives an empty result.
+    """
+    extractors = {suffix: registry.extractor_for("x" + suffix) for suffix in registry.supported()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _SOURCES.split(", ")]
+        for batch in batches:
+            rows = []
+            for repository, path, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                found = registry.extract_file(extractors, repository or "", path, content, None) if path and content else None
+                if found is None or found.errors:
+                    continue
+                text = content.decode("utf-8-sig").replace("\r\n", "\n").replace("\r", "\n")
+                starts = [0] + [m.end() for m in re.finditer("\n", text)]
+                for x in found.nodes:
+                    if x["label"] not in FUNCTIONS or not x.get("code"):
+                        continue
+                    doc = documentation(x.get("docstring"), x["code"], x["language"])
+                    if informative(doc, x["name"]):
+                        begin, end = _range(text, starts, x["code"], x["line_number"])
+                        rows.append((repository, path, x["id"], x["language"], begin, end, x["line_number"], x["line_end"], x.get("signature"), x["code"], clean(doc)))
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            kinds = [pa.int64() if n.endswith("char") else pa.int32() if n.startswith("line_") else pa.string() for n in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    found = files.select("repository", "file_path", "content").mapInArrow(run, _SOURCES)
+    return found.dropDuplicates(["repository", "file_path", "id", "begin_char"])

@@ -46,6 +46,10 @@ def p6_pairs(spark, d):
     return pairs.dropDuplicates(["id"])
 
 
+def p6_sources(spark, d):
+    return documented.documented_sources(spread(load(spark, d, "files")))
+
+
 def p7_found(spark, d):
     return spans.shared_pairs(spread(load(spark, d, "nodes").select("id", "code")))
 
@@ -90,7 +94,7 @@ def p10_segments(spark, d):
     return language.document_segments(spread(load(spark, d, "documents").select("doc_id", "text", "lang")))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_shared": p7_shared, "p7_classes": p7_classes, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans, "p9_removals": p9_removals, "p10_found": p10_found, "p10_segments": p10_segments}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_pairs": p6_pairs, "p6_sources": p6_sources, "p7_found": p7_found, "p7_shared": p7_shared, "p7_classes": p7_classes, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans, "p9_removals": p9_removals, "p10_found": p10_found, "p10_segments": p10_segments}
 
 ORACLE: dict[str, str] = {
     "p9_found": """

@@ -299,3 +299,24 @@ def test_deep_nesting_is_no_error():
     n = 1500
     assert syntax.why_invalid("const a = " + "<b>" * n + "x" + "</b>" * n + ";", ".tsx") is None
     assert syntax.why_invalid("const a = " + "<b>" * n + "x" + "</b>" * (n - 1) + ";", ".tsx")
+
+
+def test_documented_functions_of_source_files_stand_where_their_ranges_say(spark):
+    sources = {
+        "a.py": '\ufeffclass A:\r\n    @deco\r\n    async def load(self, key: str) -> dict:\r\n        """Reads one row by key."""\r\n        return {}\r\n\r\n    def bare(self):\r\n        return 1\r\n',
+        "A.java": 'package p;\nclass A {\n  /** Sums the open amounts. */\n  int total(int a) { return a; }\n  /** TODO */\n  void run() { }\n  /** Total. */\n  int total() { return 0; }\n}\n',
+        "a.ts": "/** Keeps the newest entries. */\nexport function keep(a: number): number { return a; }\nfunction none() { return 1; }\n",
+        "A.cs": "namespace N { class A {\n /// <summary>Writes the log away.</summary>\n public void Flush(int n) { }\n} }\n",
+        "bad.py": "def f(:\n",
+        "empty.py": "",
+    }
+    rows = [("r", p, t.encode()) for p, t in sources.items()] + [("r", "a.ts", sources["a.ts"].encode()), ("r", "n.py", None), (None, None, None)]
+    df = spark.createDataFrame(rows, "repository string, file_path string, content binary")
+    got = documented.documented_sources(df).collect()
+    assert sorted((r.file_path, r.id.split("#")[-1].split(".")[-1].split("(")[0], r.description) for r in got) == [
+        ("A.cs", "Flush", "Writes the log away."), ("A.java", "total", "Sums the open amounts."), ("a.py", "load", "Reads one row by key."), ("a.ts", "keep", "Keeps the newest entries."),
+    ]
+    for r in got:
+        text = sources[r.file_path].removeprefix("\ufeff").replace("\r\n", "\n")
+        assert text[r.begin_char : r.end_char] == r.code
+    assert documented.documented_sources(df.filter("false")).isEmpty()
