@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Iterator
 
 from codeloom.extract.base import Found, first_of
 
 #: Names by which classes and functions get a stereotype.
+ENUMS = ("Enum", "IntEnum", "StrEnum", "Flag", "IntFlag")
 BASES = {
     "pydantic_model": ("BaseModel", "pydantic.BaseModel"),
     "django_model": ("Model", "models.Model", "django.db.models.Model"),
-    "enum": ("Enum", "IntEnum", "StrEnum", "Flag", "IntFlag", "enum.Enum", "enum.IntEnum", "enum.StrEnum", "enum.Flag", "enum.IntFlag"),
+    "enum": (*ENUMS, *(f"enum.{x}" for x in ENUMS)),
 }
 TASKS = ("task", "app.task", "shared_task", "celery.shared_task")
 ENDPOINTS = ("api_view", "require_http_methods", "require_GET", "require_POST", "require_safe")
@@ -20,6 +22,20 @@ MODIFIERS = {"abstractmethod": "abstract", "staticmethod": "static", "classmetho
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
+def _nodes_in(node: ast.AST) -> Iterator[ast.AST]:
+    """A node and all below it, level by level, without the marks of contexts and operators, which no reader needs."""
+    todo = [node]
+    for x in todo:
+        yield x
+        for name in x._fields:
+            if name not in ("ctx", "op", "ops"):
+                value = getattr(x, name, None)
+                if isinstance(value, list):
+                    todo += [y for y in value if isinstance(y, ast.AST)]
+                elif isinstance(value, ast.AST):
+                    todo.append(value)
+
+
 class _Reader:
     def __init__(self, found: Found, source: str) -> None:
         self.found, self.lines = found, source.split("\n")
@@ -101,12 +117,12 @@ class _Reader:
         )
         found.edge(owner or found.file_id, node_id, "HAS_CONSTRUCTOR" if is_init else "HAS_METHOD" if owner else "CONTAINS")
         if is_init:
-            for x in ast.walk(node):
+            for x in _nodes_in(node):
                 for target in x.targets if isinstance(x, ast.Assign) else [x.target] if isinstance(x, ast.AnnAssign) else []:
                     if isinstance(target, ast.Attribute) and isinstance(target.value, ast.Name) and target.value.id == "self":
                         field = found.node("Field", found.local_id(f"{owner_path}.{target.attr}", x.lineno), target.attr, x.lineno, x.end_lineno)
                         found.edge(owner, field, "HAS_FIELD")
-        calls = sorted((x for x in ast.walk(node) if isinstance(x, ast.Call) and x.lineno >= node.body[0].lineno), key=lambda x: (x.lineno, x.col_offset))
+        calls = sorted((x for x in _nodes_in(node) if isinstance(x, ast.Call) and x.lineno >= node.body[0].lineno), key=lambda x: (x.lineno, x.col_offset))
         targets = []
         for x in calls:
             if isinstance(x.func, ast.Name):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+#: Labels and relation types.
 LABELS = ("File", "Package", "Class", "Interface", "Method", "Constructor", "Field", "Hook", "Reference")
 #: Labels whose nodes get an embedding.
 EMBEDDABLE = ("Method", "Class", "Interface", "Constructor")
